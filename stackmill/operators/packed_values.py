@@ -17,14 +17,16 @@ from collections.abc import Callable, Iterator
 from itertools import product
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Signs for left-out names, stand-ins for a missing value, name suffixes, words that bind names of organisations.
 LEFT_OUT = r"(?:\bet\.?\s+al\b\.?|\b(?:and|&)\s+others\b|&\s+others\b|\bothers\b|\betc\b\.?|\bu\.\s?a\.|\[\s*(?:\.\.\.|…)\s*\]|\.\.\.|…)"
 STAND_INS = ["", "-", "--", "?", "n/a", "na", "n.n.", "nn", "none", "null", "nil", "tbd", "unknown", "unknown author", "unknown authors", "anonymous", "anon", "anon.", "no author", "[authors missing]", "[author missing]", "[no authors listed]", "authors missing"]
 SUFFIX = r"(?:jr|sr|ii|iii|iv)\.?"
-FUNCTION_WORDS = ["and", "&", "for", "of", "on", "the", "in", "at", "de", "du", "la", "für", "und", "et"]
+FUNCTION_WORDS = ["for", "of", "on", "the", "in", "at", "de", "du", "la", "für"]
+CONJUNCTIONS = ["and", "&", "und", "et"]
 
 _PROTECTED = re.compile(r'"[^"]*"|\{[^{}]*\}|“[^”]*”')
 _SUFFIX_COMMA = re.compile(rf",(?=\s*{SUFFIX}(?:\s*(?:[;,|/&\t\n]|$)|\s+and\b))", re.I)
@@ -63,6 +65,8 @@ def form_of(value: str) -> str:
                 sign = "J"
             elif word.lower() in FUNCTION_WORDS:
                 sign = "F"
+            elif word.lower() in CONJUNCTIONS:
+                sign = "N"
             elif word.isupper() and 3 <= len(word) <= 7:
                 sign = "A"
             elif word.endswith("."):
@@ -229,3 +233,13 @@ def unpack(fields: DataFrame, codes: Codes | None = None, least: int = 1) -> Dat
             yield pd.DataFrame({"record_id": pd.array(ids, "Int64"), "pos": pd.array(places, "Int32"), "value": pd.array(values, "string")})
 
     return fields.filter("text IS NOT NULL").mapInPandas(run, "record_id bigint, pos int, value string")
+
+
+def values_column(column: Column, codes: Codes) -> Column:
+    """The values of a packed column as an array, in place; null stays null."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def split(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: cheapest(text, codes), na_action="ignore")
+
+    return split(column)
