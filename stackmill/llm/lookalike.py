@@ -29,8 +29,8 @@ GREEK_LATIN = "ABEZHIKMNOPTYXoj"
 ARMENIAN_LOOKALIKES = "ՕՍոսցհ"
 ARMENIAN_LATIN = "OUnugh"
 # Hyphens drawn like the ASCII one, and characters without a mark that are no format characters.
-HYPHENS = "‐‑"
-BLANKS_OF_NO_WIDTH = "͏ᅟᅠ឴឵ㅤﾠ"
+HYPHENS = "\u2010\u2011"
+BLANKS_OF_NO_WIDTH = "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0"
 VARIATION_SELECTORS = [*range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0), *range(0x180B, 0x180F)]
 # Compatibility tags whose characters look like their decomposition.
 FOLDED_TAGS = ("<wide>", "<narrow>", "<noBreak>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>", "<compat>")

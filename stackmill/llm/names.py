@@ -134,14 +134,16 @@ def _probes() -> Column:
 def segment_links(typed: DataFrame, reference: DataFrame) -> DataFrame:
     """(kind, key, entity_key, edits): every typed key within reach of a reference key.
 
-    ``typed`` and ``reference`` have (kind, key). Reach is one edit per four letters, EDITS at most;
-    keys too short for segments and acronyms must be equal.
+    ``typed`` and ``reference`` have (kind, key). Reach is one edit per four letters or one swap of
+    letters, EDITS at most; keys too short for segments and acronyms must be equal.
     """
     reference, typed = reference.select("kind", F.col("key")).distinct(), typed.select("kind", "key").distinct()
     index = reference.filter(f"kind != 'a' AND length(key) > {EDITS}").withColumn("s", F.explode(_segments())).select("kind", F.col("key").alias("entity_key"), "s.*")
     probes = typed.filter(f"kind != 'a' AND length(key) >= {EDITS}").withColumn("s", F.explode(_probes())).select("kind", "key", "s.*").distinct()
     near = probes.join(index, ["kind", "len", "i", "seg"]).select("kind", "key", "entity_key").distinct()
-    near = near.withColumn("edits", F.levenshtein("key", "entity_key", EDITS)).filter("edits >= 0 AND edits <= length(entity_key) div 4")
+    letters = lambda c: F.array_sort(F.split(c, ""))
+    swapped = (F.length("key") == F.length("entity_key")) & (letters(F.col("key")) == letters(F.col("entity_key")))
+    near = near.withColumn("edits", F.levenshtein("key", "entity_key", EDITS)).filter((F.col("edits") >= 0) & ((F.col("edits") <= F.expr("length(entity_key) div 4")) | swapped))
     same = typed.join(reference, ["kind", "key"]).filter(f"kind = 'a' OR length(key) <= {EDITS}").select("kind", "key", F.col("key").alias("entity_key"), F.lit(0).alias("edits"))
     return near.unionByName(same)
 
