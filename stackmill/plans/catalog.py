@@ -1,4 +1,4 @@
-"""Named queries over the engine's own operators, each with its SQL."""
+"""Named queries over the engine's own operators."""
 
 from __future__ import annotations
 
@@ -7,14 +7,574 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stackmill.functions import failures, identifiers, naming, urls
+from stackmill.operators import exports, history, parsing, queue, rates, routing, topics, web
+from stackmill.operators.raw_records import load_raw_records, loaded_entries
+from stackmill.plans.catalog_sql import ORACLE_SQL
+from stackmill.plans.ordered import numbered
 from stackmill.sources.tables import table
+from stackmill.streaming import jobs
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ATTEMPT_COLUMNS = ["id", "url", "status", "project", "started_at", "error_type", "retry_count"]
+STATUSES = ["pending", "in_progress", "completed", "failed"]
+EPOCH, SPACING_MS = 1_700_000_000, 5_000
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _log(spark: SparkSession, folder: str) -> DataFrame:
+    return history.current_attempts(table(spark, folder, "download_log"))
+
 
+def _queue(spark: SparkSession, folder: str) -> DataFrame:
+    """The queue with unknown status values read as pending."""
+    items = table(spark, folder, "queue_items")
+    return items.withColumn("status", F.when(F.col("status").isin(STATUSES), F.col("status")).otherwise("pending"))
 
+
+# --- history -----------------------------------------------------------------------------------
+
+
+@query
 def log_recent(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "download_log").select("id", "url", "status").orderBy(F.desc("id")).limit(200)
+    """The newest attempts."""
+    return history.attempts(_log(spark, folder)).select(*ATTEMPT_COLUMNS)
+
+
+@query
+def log_by_status(spark: SparkSession, folder: str) -> DataFrame:
+    return history.attempts(_log(spark, folder), status="failed", limit=50).select(*ATTEMPT_COLUMNS)
+
+
+@query
+def log_by_project(spark: SparkSession, folder: str) -> DataFrame:
+    return history.attempts(_log(spark, folder), project="basalt-corpus", limit=10_000).select(*ATTEMPT_COLUMNS)
+
+
+@query
+def log_since_until(spark: SparkSession, folder: str) -> DataFrame:
+    """Both bounds included, compared as text."""
+    return history.attempts(_log(spark, folder), since="2022-03-01 00:00:00", until="2022-09-30 23:59:59", limit=10_000).select(*ATTEMPT_COLUMNS)
+
+
+@query
+def log_keyset_page(spark: SparkSession, folder: str) -> DataFrame:
+    return history.attempts(_log(spark, folder), after_id=100, before_id=2000, limit=100).select(*ATTEMPT_COLUMNS)
+
+
+@query
+def log_by_domain(spark: SparkSession, folder: str) -> DataFrame:
+    """The domain decides before the limit."""
+    return history.attempts(_log(spark, folder), domain=" .loomstudies.test", limit=100).select(*ATTEMPT_COLUMNS)
+
+
+@query
+def log_uncertain(spark: SparkSession, folder: str) -> DataFrame:
+    return history.attempts(_log(spark, folder), uncertain_only=True, limit=500).select(*ATTEMPT_COLUMNS)
+
+
+@query
+def log_confidence_json(spark: SparkSession, folder: str) -> DataFrame:
+    """Attempts by what their stored confidence factors say."""
+    factors = F.from_json("parse_confidence_factors", "has_authors boolean, has_year boolean, has_title boolean, author_count bigint")
+    held = _log(spark, folder).withColumn("f", factors).filter("f IS NOT NULL")
+    return held.groupBy("f.has_authors", "f.has_year", "f.has_title").agg(F.count("*").alias("attempts"), F.sum("f.author_count").alias("authors"))
+
+
+@query
+def log_multi_source(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest of every project's history, merged."""
+    log = _log(spark, folder).withColumn("source", F.coalesce("project", F.lit("")))
+    return history.merged_sources(log, "source", 100).select("source", "id", "started_at", "status")
+
+
+@query
+def log_failed_described(spark: SparkSession, folder: str) -> DataFrame:
+    """Failed attempts with the class of the failure."""
+    failed = _log(spark, folder).filter("status = 'failed'")
+    what = failures.described_what(F.col("error_type"), F.col("http_status"), F.col("error_message"))
+    return failed.select("id", failures.described_class(F.col("error_type"), F.col("error_message")).alias("category"), what.alias("what"))
+
+
+@query
+def log_latest_id(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "download_log").agg(F.max("id").alias("latest_id"))
+
+
+@query
+def log_status_class(spark: SparkSession, folder: str) -> DataFrame:
+    """Failures by what their HTTP status, and where it is missing their message, says."""
+    failed = _log(spark, folder).filter("status = 'failed'")
+    return failed.groupBy(failures.status_class(F.col("http_status")).alias("class"), failures.failure_class(F.coalesce("error_message", F.lit(""))).alias("by_message")).agg(F.count("*").alias("attempts"))
+
+
+@query
+def search_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    return history.search_candidates(_log(spark, folder), since="2022-02-01 00:00:00", openable=True, cap=1000).select("id", "status", "title", "started_at")
+
+
+@query
+def search_ranked(spark: SparkSession, folder: str) -> DataFrame:
+    """Best matches by kind, likeness and recency."""
+    plain = _log(spark, folder).filter(~F.col("title").rlike(r"[^\x00-\x7F]") & ~F.coalesce("authors", F.lit("")).rlike(r"[^\x00-\x7F]"))
+    found = history.ranked(history.search_candidates(plain), "Granular", 200)
+    return found.select("id", "match_kind", F.round("similarity", 6).alias("similarity"), "matched_field")
+
+
+# --- queue -------------------------------------------------------------------------------------
+
+
+@query
+def queue_claim_batch(spark: SparkSession, folder: str) -> DataFrame:
+    return queue.claim_batch(_queue(spark, folder), 25).select("id", "priority", "created_at")
+
+
+@query
+def queue_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return queue.counts(_queue(spark, folder))
+
+
+@query
+def queue_legacy_unscoped(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "queue_items").agg(F.count_if(F.col("project").isNull()).alias("unscoped"))
+
+
+@query
+def queue_list_by_status(spark: SparkSession, folder: str) -> DataFrame:
+    """All failed items in queue order."""
+    return _queue(spark, folder).filter("status = 'failed'").orderBy(F.desc("priority"), "created_at", "id").select("id", "priority", "created_at", "project")
+
+
+@query
+def queue_reset_in_progress(spark: SparkSession, folder: str) -> DataFrame:
+    return queue.counts(queue.recovered(_queue(spark, folder))).select("project", "status", "items")
+
+
+@query
+def queue_fold_state(spark: SparkSession, folder: str) -> DataFrame:
+    """The last thing the history says about every address."""
+    events = _log(spark, folder).select(F.col("url").alias("id"), F.col("id").alias("seq"), "status", "retry_count")
+    return queue.folded(events).select(F.col("id").alias("url"), "status", "retry_count")
+
+
+@query
+def queue_has_active_url(spark: SparkSession, folder: str) -> DataFrame:
+    """Attempts of addresses that are queued or in progress in the same project."""
+    return queue.in_flight(_log(spark, folder).select("id", "url", "project"), _queue(spark, folder)).select("id")
+
+
+@query
+def new_completed_anti(spark: SparkSession, folder: str) -> DataFrame:
+    """Completed items whose creation lies after the first run's end."""
+    before = table(spark, folder, "queue_items").filter("status = 'completed' AND updated_at < '2022-06-01 00:00:00'")
+    return queue.newly_completed(_queue(spark, folder), before).select("id")
+
+
+@query
+def dedup_registry_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """Queue items against what was downloaded: present, gone or unknown."""
+    done = _log(spark, folder).filter("status = 'success'")
+    key = identifiers.dedup_key(F.col("doi"), F.col("url"))
+    known = done.select(key.alias("dedup_key"), F.col("file_path").endswith(".pdf").alias("present")).filter("dedup_key IS NOT NULL").groupBy("dedup_key").agg(F.bool_or("present").alias("present"))
+    none = F.lit(None).cast("string")
+    items = table(spark, folder, "queue_items").select("id", identifiers.dedup_key(F.col("meta_doi"), none).alias("doi_key"), identifiers.dedup_key(none, F.col("url")).alias("url_key"))
+    return queue.looked_up(items, known).select("id", "outcome")
+
+
+@query
+def registry_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    """A registry built from the successes of two runs."""
+    done = _log(spark, folder).filter("status = 'success' AND file_path IS NOT NULL").select(identifiers.dedup_key(F.col("doi"), F.col("url")).alias("dedup_key"), F.col("file_path").alias("relative_path"), F.col("started_at").alias("seen_at"))
+    first = done.filter("seen_at < '2022-07-01 00:00:00'")
+    return queue.upserted(first, done.filter("seen_at >= '2022-07-01 00:00:00'"))
+
+
+# --- addresses and identifiers -------------------------------------------------------------------
+
+
+@query
+def url_hosts(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "queue_items").groupBy(urls.domain(F.col("url")).alias("host")).agg(F.count("*").alias("items"))
+
+
+@query
+def url_canonical(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "queue_items").select("id", urls.canonical_url(F.col("url")).alias("canonical"))
+
+
+@query
+def url_origin(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "download_log").groupBy(urls.origin(F.col("url")).alias("origin")).agg(F.count("*").alias("n"))
+
+
+@query
+def url_extension(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "download_log").groupBy(urls.extension(F.col("url")).alias("extension"), urls.expects_binary(F.col("url")).alias("binary")).agg(F.count("*").alias("n"))
+
+
+@query
+def url_dedup_key(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "queue_items").select("id", identifiers.dedup_key(F.col("meta_doi"), F.col("url")).alias("dedup_key"))
+
+
+@query
+def doi_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """The same DOI as parser, registry and history write it."""
+    doi = F.col("meta_doi")
+    return table(spark, folder, "queue_items").filter("meta_doi IS NOT NULL").select("id", identifiers.parsed_doi(doi).alias("parsed"), identifiers.registry_doi(doi).alias("registered"), identifiers.history_doi(doi).alias("logged"), identifiers.valid_doi(identifiers.parsed_doi(doi)).alias("valid"))
+
+
+@query
+def content_types(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "download_log").groupBy(urls.content_type_extension(F.col("content_type")).alias("extension")).agg(F.count("*").alias("n"))
+
+
+# --- failures, retries, spacing ----------------------------------------------------------------
+
+
+@query
+def failure_summary(spark: SparkSession, folder: str) -> DataFrame:
+    failed = _log(spark, folder).filter("status = 'failed'")
+    return failed.groupBy(failures.described_class(F.col("error_type"), F.col("error_message")).alias("category")).agg(F.count("*").alias("failures"), F.countDistinct(urls.domain(F.col("url"))).alias("domains"))
+
+
+@query
+def failure_auth_domains(spark: SparkSession, folder: str) -> DataFrame:
+    """Domains that asked for a login, from their failure messages."""
+    denied = _log(spark, folder).filter("error_type = 'auth'")
+    message = F.concat(F.lit("[AUTH] authentication required for "), urls.domain(F.col("url")), F.lit(" (HTTP "), F.coalesce(F.col("http_status").cast("string"), F.lit("401")), F.lit(")"))
+    return denied.groupBy(failures.auth_domain(message).alias("domain")).agg(F.count("*").alias("failures"))
+
+
+@query
+def http_status_class(spark: SparkSession, folder: str) -> DataFrame:
+    log = _log(spark, folder).filter("http_status IS NOT NULL")
+    return log.groupBy("http_status", failures.status_class(F.col("http_status")).alias("class"), failures.status_error_type(F.col("http_status")).alias("error_type")).agg(F.count("*").alias("n"))
+
+
+@query
+def retry_schedule(spark: SparkSession, folder: str) -> DataFrame:
+    failed = _log(spark, folder).filter("status = 'failed'").select("id", failures.status_class(F.coalesce("http_status", F.lit(503))).alias("failure"))
+    return rates.retry_schedule(failed, 6).select("id", "attempt", "delay_ms")
+
+
+@query
+def retry_after_parse(spark: SparkSession, folder: str) -> DataFrame:
+    """Waits of numbers, negative numbers, dates and junk."""
+    k = F.col("id") % 5
+    date = F.date_format(F.to_timestamp("started_at") + F.expr("INTERVAL 90 SECONDS"), "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
+    header = F.when(k == 0, (F.col("id") * 7).cast("string")).when(k == 1, "-5").when(k == 2, date).when(k == 3, "soon").otherwise(" 30 ")
+    log = _log(spark, folder).select("id", failures.retry_after_s(header, F.to_timestamp("started_at")).alias("wait_s"))
+    return log
+
+
+def _requests(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("https://host"), F.col("user_id") % 50, F.lit(".example/x")).alias("url"), F.unix_millis("ts").alias("arrived_ms"))
+
+
+@query
+def rate_limit_schedule(spark: SparkSession, folder: str) -> DataFrame:
+    requests = _requests(spark, folder).withColumn("domain", urls.domain(F.col("url")))
+    return rates.request_schedule(requests, 60_000).select("domain", "id", "arrived_ms", "start_ms")
+
+
+@query
+def rate_limit_cumulative(spark: SparkSession, folder: str) -> DataFrame:
+    requests = _requests(spark, folder).withColumn("domain", urls.domain(F.col("url")))
+    return rates.cumulative_wait(rates.request_schedule(requests, 600_000))
+
+
+# --- pages, robots, cookies, routing -------------------------------------------------------------
+
+
+@query
+def robots_allowed(spark: SparkSession, folder: str) -> DataFrame:
+    """Queued addresses that the rules of their hosts allow."""
+    items = table(spark, folder, "queue_items").select("id", "url")
+    body = F.concat(F.lit("User-agent: other\nDisallow: /\nUser-agent: *\nDisallow: /"), F.when(F.length(urls.origin(F.col("url"))) % 2 == 0, "handle").otherwise("article"), F.lit("*\nDisallow:\nAllow: /handle/x0"))
+    files = items.filter(urls.origin(F.col("url")).isNotNull()).select(urls.origin(F.col("url")).alias("origin"), body.alias("body")).distinct()
+    return web.allowed(items, web.robots_rules(files)).select("id")
+
+
+@query
+def cookie_netscape_parse(spark: SparkSession, folder: str) -> DataFrame:
+    """Cookie lines with their problems."""
+    k = F.col("c_custkey") % 7
+    flag = F.when(k == 1, "YES").otherwise("TRUE")
+    expires = F.when(k == 2, "later").otherwise((F.col("c_custkey") * 1000).cast("string"))
+    line = F.when(k == 0, F.concat(F.lit("# "), F.col("c_name"))).otherwise(F.concat_ws("\t", F.concat(F.lit(".d"), F.col("c_nationkey"), F.lit(".example")), F.lit("TRUE"), F.lit("/"), flag, expires, F.when(k == 3, "").otherwise(F.col("c_name")), F.lit("v")))
+    return web.netscape_cookies(table(spark, folder, "customer").select(line.alias("line"))).groupBy("problem").agg(F.count("*").alias("n"), F.sum(F.when(F.col("problem").isNull(), F.col("expires"))).alias("expires"))
+
+
+@query
+def cookie_domain_status(spark: SparkSession, folder: str) -> DataFrame:
+    cookies = table(spark, folder, "customer").select(F.concat(F.lit(".d"), F.col("c_nationkey"), F.lit(".example")).alias("domain"), F.when(F.col("c_custkey") % 3 == 0, 0).otherwise(F.col("c_custkey") * 100).alias("expires")).filter("expires % 7 != 1")
+    return web.cookie_status(cookies, 60_000)
+
+
+def _pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages rendered from records: title with an entity, citation tags in either attribute order."""
+    tag = lambda name, value: F.concat(F.lit(f'<meta name="{name}" content="'), value, F.lit('">\n'))
+    title = F.replace(F.col("title"), F.lit("&"), F.lit("&amp;"))
+    html = F.concat(F.lit("<html><head><title> "), title, F.lit(" </title>\n<meta charset='utf-8'>"), tag("citation_title", title), F.lit("<meta content='"), F.coalesce("doi", F.lit("none")), F.lit("' name='citation_doi'>"), tag("citation_author", F.col("key")), tag("citation_author", F.col("key")), tag("citation_author", F.col("entry_type")), F.lit("</head><body><a href=\"/files/"), F.col("bib_id"), F.lit('.pdf">x</a></body></html>'))
+    return table(spark, folder, "bibtex_entries").filter("title IS NOT NULL AND NOT contains(title, '\"')").select("bib_id", html.alias("html"))
+
+
+@query
+def html_meta_tags(spark: SparkSession, folder: str) -> DataFrame:
+    tags = web.meta_tags(F.col("html"))
+    return _pages(spark, folder).select("bib_id", web.first_meta(tags, "citation_title").alias("title"), web.first_meta(tags, "dc.identifier", "citation_doi").alias("doi"), F.array_join(web.all_meta(tags, "citation_author"), "|").alias("authors"))
+
+
+@query
+def html_title(spark: SparkSession, folder: str) -> DataFrame:
+    return _pages(spark, folder).select("bib_id", web.title(F.col("html")).alias("title"), web.pdf_link(F.col("html")).alias("pdf"))
+
+
+@query
+def crossref_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """Work documents of the authors table: names joined, first title, year."""
+    author = F.struct("given", "family")
+    works = table(spark, folder, "crossref_authors").filter("work_doi IS NOT NULL").groupBy("work_doi").agg(F.array_sort(F.collect_list(F.struct("fetched_at", "seq", "row_id", author.alias("a")))).alias("x"))
+    body = F.to_json(F.struct(F.struct(F.col("work_doi").alias("DOI"), F.array(F.concat(F.lit("Work "), F.col("work_doi")), F.lit("other")).alias("title"), F.transform("x", lambda e: e["a"]).alias("author"), F.struct(F.array(F.array(F.lit(2001), F.lit(5))).alias("date-parts")).alias("published")).alias("message")))
+    parsed = works.select(F.from_json(body, "struct<message:struct<DOI:string,title:array<string>,author:array<struct<given:string,family:string>>,published:struct<`date-parts`:array<array<int>>>>>")["message"].alias("m"))
+    names = F.array_join(F.transform("m.author", lambda a: F.concat_ws(", ", a["family"], a["given"])), "; ")
+    return parsed.select(F.col("m.DOI").alias("doi"), F.try_element_at("m.title", F.lit(1)).alias("title"), names.alias("authors"), F.col("m.published.date-parts")[0][0].cast("string").alias("year"))
+
+
+def _routable(spark: SparkSession, folder: str) -> DataFrame:
+    """Items of all kinds: DOIs and addresses re-rendered for every source by id."""
+    prefixes = ["10.1109/", "10.1093/", "10.1007/", "10.1016/", "10.1145/", "10.1002/", "10.1111/", "10.3390/", "10.48550/arXiv.2101.0", "10.5555/"]
+    pages = ["https://arxiv.org/abs/2101.0", "https://ieeexplore.ieee.org/document/", "https://academic.oup.com/j/article/", "https://link.springer.com/article/", "https://www.sciencedirect.com/science/article/pii/S00000000", "https://dl.acm.org/doi/10.1145/", "https://onlinelibrary.wiley.com/doi/10.1002/", "https://www.mdpi.com/1234-5678/1/2/", "https://youtu.be/v", "https://pmc.ncbi.nlm.nih.gov/articles/PMC1"]
+    pick = lambda options: F.element_at(F.array(*map(F.lit, options)), (F.col("p_partkey") % len(options) + 1).cast("int"))
+    number = F.lpad((F.col("p_partkey") % 1000 + 1000).cast("string"), 4, "0")
+    parts = table(spark, folder, "part")
+    doi = parts.select((F.col("p_partkey") * 3).alias("id"), F.lit("doi").alias("kind"), F.concat(pick(prefixes), number).alias("value"))
+    page = parts.select((F.col("p_partkey") * 3 + 1).alias("id"), F.lit("url").alias("kind"), F.concat(pick(pages), number).alias("value"))
+    other = parts.select((F.col("p_partkey") * 3 + 2).alias("id"), pick(["unknown", "reference", "bibtex"]).alias("kind"), F.concat(F.lit("PMC"), number).alias("value"))
+    return doi.unionByName(page).unionByName(other)
+
+
+@query
+def resolver_route(spark: SparkSession, folder: str) -> DataFrame:
+    return _routable(spark, folder).select("id", routing.route(F.col("value"), F.col("kind")).alias("rule"))
+
+
+@query
+def queue_route(spark: SparkSession, folder: str) -> DataFrame:
+    """Queue items by the rule that would resolve them."""
+    kind = F.when(F.col("source_type") == "direct_url", "url").when(F.col("source_type") == "doi", "doi").otherwise(F.col("source_type"))
+    items = table(spark, folder, "queue_items").select(kind.alias("kind"), F.when(kind == "url", F.col("url")).otherwise(F.coalesce("original_input", "url")).alias("value"))
+    return items.groupBy("kind", routing.route(F.col("value"), F.col("kind")).alias("rule")).agg(F.count("*").alias("items"))
+
+
+@query
+def resolver_redirect_chase(spark: SparkSession, folder: str) -> DataFrame:
+    """Chains of up to eight redirects followed to their end."""
+    at = lambda n: F.concat(F.lit("https://r.example/"), n)
+    parts = table(spark, folder, "part").select("p_partkey")
+    redirects = parts.filter("p_partkey % 8 != 0").select(at(F.col("p_partkey")).alias("url"), at(F.col("p_partkey") - 1).alias("target"))
+    return routing.chased(parts.select("p_partkey", at(F.col("p_partkey")).alias("url")), redirects).select("p_partkey", "final_url", "hops")
+
+
+# --- texts -------------------------------------------------------------------------------------
+
+
+def _inputs(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "queue_items").select(F.col("id").alias("input_id"), F.col("original_input").alias("text"))
+
+
+@query
+def parse_items_ordered(spark: SparkSession, folder: str) -> DataFrame:
+    """Items of what users typed, in the order of the contract."""
+    return parsing.parsed_items(_inputs(spark, folder))
+
+
+@query
+def parse_type_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return parsing.type_counts(parsing.parsed_items(_inputs(spark, folder)))
+
+
+@query
+def parse_known_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Identifiers that are whole lines, in normal form."""
+    k = F.col("p_partkey") % 6
+    n = F.lpad((F.col("p_partkey") + 10_000).cast("string"), 5, "0")
+    line = F.when(k == 0, F.concat(F.lit(" pmc"), n)).when(k == 1, F.concat(F.lit("2101."), n)).when(k == 2, F.concat(F.lit("arXiv: 2101."), n, F.lit("v2"))).when(k == 3, F.concat(F.lit("PMID "), n)).when(k == 4, F.concat(F.lit("PMID"), n)).otherwise(F.concat(F.lit("see PMC"), n))
+    return table(spark, folder, "part").select("p_partkey", identifiers.known_id(line).alias("known"))
+
+
+def _citations(spark: SparkSession, folder: str) -> DataFrame:
+    """References rendered from customers and parts; every third lacks a part."""
+    k = F.col("c_custkey") % 4
+    author = F.when(k == 1, "").otherwise(F.concat(F.lit("Smith, J., ")))
+    year = F.when(k == 2, "").otherwise(F.concat(F.lit("("), F.lit(1900) + F.col("c_custkey") % 120, F.lit(") ")))
+    text = F.concat(author, year, F.lit("Report on segment "), F.lower("c_mktsegment"), F.lit(" no "), F.col("c_custkey") % 10, F.lit(". Journal of Segments."))
+    return table(spark, folder, "customer").select(F.col("c_custkey").alias("input_id"), text.alias("text"))
+
+
+@query
+def reference_confidence(spark: SparkSession, folder: str) -> DataFrame:
+    found = parsing.references(_citations(spark, folder))
+    return found.select("input_id", F.array_join("authors", "|").alias("authors"), "year", "confidence")
+
+
+@query
+def confidence_distribution(spark: SparkSession, folder: str) -> DataFrame:
+    return parsing.references(_citations(spark, folder)).groupBy("confidence").agg(F.count("*").alias("n"))
+
+
+@query
+def bibliography_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries of bibliographies of numbered lines, wrapped lines and blocks."""
+    k = F.col("n_nationkey")
+    text = F.concat(F.lit("References\n[1] Smith, J. (2001). First of "), F.col("n_name"), F.lit(".\nPress.\n2) Jones, K. (2002). Second.\n\nBrown, L. (2003). Third "), k, F.lit("\nwrapped line.\nGreen, M. (2004). Fourth.\n---\n"))
+    return parsing.bibliography_entries(table(spark, folder, "nation").select(k.cast("bigint").alias("input_id"), text.alias("text")))
+
+
+@query
+def ris_parse(spark: SparkSession, folder: str) -> DataFrame:
+    """The raw RIS records parsed back into the columns they were written from."""
+    raw = table(spark, folder, "ris_entries").select(F.col("ris_id").alias("input_id"), F.col("raw").alias("text"))
+    return parsing.ris_entries(parsing.ris_records(raw)).select(F.col("input_id").alias("ris_id"), "entry_type", F.trim("title").alias("title"), "year", "doi", "url")
+
+
+@query
+def bibtex_parse(spark: SparkSession, folder: str) -> DataFrame:
+    """The raw BibTeX entries parsed back into the columns they were written from."""
+    raw = table(spark, folder, "bibtex_entries").select(F.col("bib_id").alias("record_id"), F.lit("bibtex").alias("fmt"), "raw")
+    return loaded_entries(load_raw_records(raw)).select(F.col("record_id").alias("bib_id"), "entry_type", F.col("entry_key").alias("key"), "year", "doi")
+
+
+@query
+def md_links_distinct(spark: SparkSession, folder: str) -> DataFrame:
+    """Addresses in the documents, each where it is seen first."""
+    return parsing.markdown_links(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "url")
+
+
+@query
+def topics_normalize(spark: SparkSession, folder: str) -> DataFrame:
+    found = topics.normal_topics(topics.stored_topics(F.col("topics")))
+    return table(spark, folder, "queue_metadata").select("meta_id", F.array_join(found, "|").alias("topics"))
+
+
+@query
+def topics_match_custom(spark: SparkSession, folder: str) -> DataFrame:
+    custom = F.array(F.lit("Frost"), F.lit("tidal"), F.lit("the cable hum of masts"))
+    found = topics.custom_first(topics.stored_topics(F.col("topics")), custom)
+    return table(spark, folder, "queue_metadata").select("meta_id", F.array_join(found, "|").alias("topics"))
+
+
+@query
+def topics_rake(spark: SparkSession, folder: str) -> DataFrame:
+    """Keywords of every document."""
+    return topics.rake(table(spark, folder, "documents"))
+
+
+# --- names and reports ---------------------------------------------------------------------------
+
+
+@query
+def filename_preferred(spark: SparkSession, folder: str) -> DataFrame:
+    name = naming.preferred_filename(F.col("url"), F.col("authors"), F.lit("2020"), F.col("title"), F.lit(EPOCH))
+    return _log(spark, folder).filter("status = 'success'").select("id", name.alias("filename"))
+
+
+@query
+def filename_unique(spark: SparkSession, folder: str) -> DataFrame:
+    """Suggested names numbered where they repeat within a project."""
+    named = table(spark, folder, "queue_items").filter("suggested_filename IS NOT NULL AND project IS NOT NULL").select("id", "project", "suggested_filename")
+    named = numbered(named, ["project", "suggested_filename"], "id", "n")
+    stem, ending = F.regexp_extract("suggested_filename", r"^(.*?)(?:\.[^.]*)?$", 1), F.regexp_extract("suggested_filename", r"(\.[^.]*)$", 1)
+    return named.select("id", F.when(F.col("n") == 0, F.col("suggested_filename")).otherwise(F.concat(stem, F.lit("_"), F.col("n"), ending)).alias("filename"))
+
+
+@query
+def project_sanitize(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.concat(F.col("label"), F.when(F.length("project") % 2 == 0, " / aux?").otherwise("/con"))
+    return table(spark, folder, "projects").select("project", naming.project_name(label).alias("name"), naming.project_folder(label).alias("folder"))
+
+
+def _corpus(spark: SparkSession, folder: str) -> DataFrame:
+    meta = table(spark, folder, "queue_metadata").filter("title IS NOT NULL")
+    return meta.select(F.concat(F.lit("c/"), F.lpad(F.col("meta_id").cast("string"), 9, "0"), F.lit(".json")).alias("path"), "title", naming.sidecar_authors(F.col("authors")).alias("authors"), F.col("year").alias("date"), "doi", F.lit(None).cast("string").alias("url"))
+
+
+@query
+def export_bibtex(spark: SparkSession, folder: str) -> DataFrame:
+    return exports.bibtex_entries(_corpus(spark, folder)).select("path", "entry")
+
+
+@query
+def export_ris(spark: SparkSession, folder: str) -> DataFrame:
+    return exports.ris_records(_corpus(spark, folder)).select("path", "entry")
+
+
+@query
+def sidecar_json(spark: SparkSession, folder: str) -> DataFrame:
+    """Sidecar documents of the completed items."""
+    return exports.sidecars(_queue(spark, folder))
+
+
+@query
+def sidecar_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """What a corpus scan reads back from them."""
+    documents = exports.sidecars(_queue(spark, folder)).select(F.concat(F.lit("c/"), F.col("id"), F.lit(".json")).alias("path"), "document")
+    return exports.read_sidecars(documents).select("path", "title", F.size("authors").alias("authors"), "date", "doi", "url")
+
+
+@query
+def index_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return exports.index_rows(_queue(spark, folder))
+
+
+@query
+def download_log_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return exports.log_rows(_log(spark, folder))
+
+
+@query
+def project_topics(spark: SparkSession, folder: str) -> DataFrame:
+    """The distinct topics of every project's completed items."""
+    each = _queue(spark, folder).filter("status = 'completed' AND project IS NOT NULL").select("project", F.explode(topics.normal_topics(topics.stored_topics(F.col("topics")))).alias("topic"))
+    return each.distinct().groupBy("project").agg(F.array_join(F.array_sort(F.collect_set("topic")), "|").alias("topics"))
+
+
+@query
+def convert_eligible(spark: SparkSession, folder: str) -> DataFrame:
+    """Completed pages without a PDF beside them, and not of hosts that give none."""
+    skipped = ["archive.slowmaterials.example", "tides.example"]
+    log = _log(spark, folder).filter("status = 'success'").withColumn("stem", F.regexp_replace("file_path", r"\.[^.]*$", ""))
+    pages = log.filter("content_type = 'text/html' OR content_type = 'application/octet-stream'")
+    useless = F.coalesce(*[F.when(urls.host_within(F.col("url"), h), True) for h in skipped], F.lit(False))
+    return pages.filter(~useless).join(log.filter("content_type = 'application/pdf'").select("stem"), "stem", "left_anti").select("id")
+
+
+# --- streams -----------------------------------------------------------------------------------
+
+
+@query
+def stream_progress(spark: SparkSession, folder: str) -> DataFrame:
+    """Events per day and kind, as the watermark closes the days."""
+    return jobs.drained(jobs.progress(jobs.table_stream(spark, folder, "events"))).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@query
+def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """The users seen in the stream, each once."""
+    return jobs.drained(jobs.first_sights(jobs.table_stream(spark, folder, "events").select("user_id", "event_type", "ts"), ["user_id", "event_type"])).select("user_id", "event_type")
 
 
-QUERIES: dict[str, Query] = {"log_recent": log_recent}
-ORACLE_SQL: dict[str, str] = {}
+@query
+def stream_rate_limiter(spark: SparkSession, folder: str) -> DataFrame:
+    """The stateful form of ``rate_limit_schedule``; gives the same rows."""
+    stream = jobs.table_stream(spark, folder, "events")
+    requests = stream.select(F.col("event_id").alias("id"), F.concat(F.lit("https://host"), F.col("user_id") % 50, F.lit(".example/x")).alias("url"), F.unix_millis("ts").alias("arrived_ms"))
+    return jobs.drained(jobs.spaced_requests(requests, 60_000)).select("domain", "id", "arrived_ms", "start_ms")

@@ -20,3 +20,17 @@ def with_next(df: DataFrame, key: str, value: str, out: str = "next") -> DataFra
     firsts = ranged.groupBy(key, "_part").agg(F.min(value).alias("_first"))
     seams = firsts.withColumn("_seam", F.lead("_first").over(Window.partitionBy(key).orderBy("_part"))).filter("_seam IS NOT NULL").drop("_first")
     return here.join(seams, [key, "_part"], "left").withColumn(out, F.coalesce("_ahead", "_seam")).drop("_part", "_ahead", "_seam")
+
+
+def numbered(df: DataFrame, keys: list[str], order: str, out: str, bucket: int = 100_000) -> DataFrame:
+    """``df`` with the place of each row within its keys by an integer column, counted from 0.
+
+    Rows are numbered within ranges of ``order`` and offset by the counts of the ranges before, so a
+    key of many rows is spread over its ranges.
+    """
+    split = df.withColumn("_range", F.floor(F.col(order) / bucket))
+    counts = split.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    local = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(order)) - 1
+    return split.withColumn("_local", local).join(offsets, [*keys, "_range"]).withColumn(out, F.col("_before") + F.col("_local")).drop("_range", "_local", "_before")
