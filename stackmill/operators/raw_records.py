@@ -145,13 +145,14 @@ def _bibtex(data: np.ndarray, offsets: np.ndarray) -> tuple[_Verdict, _Fields]:
     plain = (depth == 1) & outside & ~quote
     safe_stop = np.maximum(stop - 1, 0)
 
-    verdict.fail(full & (data[np.minimum(begin, len(data) - 1)] != 64), "does not begin with @")
+    at_sign = data[np.minimum(begin, len(data) - 1)] == 64
+    verdict.fail(full & ~at_sign, "does not begin with @")
     opened = np.flatnonzero(opens)
     k = np.searchsorted(opened, begin, "left")
     has_open = (k < len(opened)) & (opened[np.minimum(k, max(len(opened) - 1, 0))] < stop) if len(opened) else np.zeros(n, bool)
     verdict.fail(full & ~has_open, "no opening brace")
     head_end = np.where(has_open, opened[np.minimum(k, len(opened) - 1)] if len(opened) else 0, begin)
-    head = pc.utf8_lower(gather(data, *trim(data, np.minimum(begin + 1, head_end), head_end)))
+    head = pc.utf8_lower(gather(data, *trim(data, np.minimum(begin + at_sign, head_end), head_end)))
     verdict.fail(full & has_open & ~np.asarray(pc.is_in(head, value_set=pa.array(BIBTEX_TYPES, pa.large_string()))), "entry type is not known")
     fields.first("entry_type", np.arange(n), head.to_pylist())
 
