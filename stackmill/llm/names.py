@@ -47,12 +47,13 @@ def _accents() -> tuple[str, str]:
     return "".join(marked) + "øłđħıŧ", "".join(base) + "oldhit"
 
 
-_MARKED, _BASE = _accents()
+#: Accented letters and their base letters.
+ACCENTS = _accents()
 
 
 def unaccented(value: Column) -> Column:
     """Lower case without accents."""
-    return F.regexp_replace(F.regexp_replace(F.translate(F.lower(value), _MARKED, _BASE), r"\p{M}", ""), "ß", "ss")
+    return F.regexp_replace(F.regexp_replace(F.translate(F.lower(value), *ACCENTS), r"\p{M}", ""), "ß", "ss")
 
 
 def merged(flat: Column) -> Column:
