@@ -53,13 +53,16 @@ Span = tuple[int, int]
 def form_of(value: str) -> str:
     """The form of a value: one sign per word, commas kept."""
     signs = []
+    long = len(value.split()) >= 4
     for part in value.split(","):
         words = []
         for word in part.split():
             word = word.strip("\"{}“”()[]")
             if not word:
                 continue
-            if _INITIALS.match(word):
+            if long and len(word) <= 4 and word.islower() and word not in CONJUNCTIONS:
+                sign = "F"  # also a function word with a slip of the pen
+            elif _INITIALS.match(word):
                 sign = "I"
             elif _SUFFIX_WORD.match(word):
                 sign = "J"
