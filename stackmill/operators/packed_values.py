@@ -14,6 +14,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import product
 
 import pandas as pd
@@ -28,6 +29,9 @@ SUFFIX = r"(?:jr|sr|ii|iii|iv)\.?"
 FUNCTION_WORDS = ["for", "of", "on", "the", "in", "at", "de", "du", "la", "für"]
 CONJUNCTIONS = ["and", "&", "und", "et"]
 
+LEFT_OUT_HINTS = ["al", "others", "...", "…", "etc", "u."]
+
+_SUFFIX_HINT = re.compile(r"[JjSs][Rr]|II|ii|IV|iv")
 _PROTECTED = re.compile(r'"[^"]*"|\{[^{}]*\}|“[^”]*”')
 _SUFFIX_COMMA = re.compile(rf",(?=\s*{SUFFIX}(?:\s*(?:[;,|/&\t\n]|$)|\s+and\b))", re.I)
 _STRONG = re.compile(r"[;|\t\r\n]+|/")
@@ -52,12 +56,16 @@ Span = tuple[int, int]
 
 def form_of(value: str) -> str:
     """The form of a value: one sign per word, commas kept."""
+    value = value.replace("\x00", ",")
     signs = []
-    long = len(value.split()) >= 4
+    long = value.count(" ") >= 3
     for part in value.split(","):
         words = []
         for word in part.split():
             word = word.strip("\"{}“”()[]")
+            if len(word) > 7 and word[-1] != ".":
+                words.append("W")
+                continue
             if not word:
                 continue
             if long and len(word) <= 4 and word.islower() and word not in CONJUNCTIONS:
@@ -100,19 +108,32 @@ def _pieces(text: str, spans: list[Span], pattern: re.Pattern[str], shield: list
     return out
 
 
+def _without_left_out(text: str) -> str:
+    """Text without a sign for left-out names at its end; the pattern is tried only where one can be."""
+    tail = text[-16:].lower()
+    return _LEFT_OUT_END.sub("", text) if any(sign in tail for sign in LEFT_OUT_HINTS) else text
+
+
 def _clean(text: str) -> str:
     """A value without the spaces, quotation marks, braces and left-out signs around it."""
-    value = text.strip().strip("\"{}“”").strip()
-    value = _LEFT_OUT_END.sub("", value)
+    value = _without_left_out(text.strip().strip("\"{}“”").strip())
     return value.strip().strip("\"{}“”").strip().rstrip(",;").strip()
 
 
+@lru_cache(maxsize=100_000)
+def _read(text: str) -> tuple[str, str]:
+    """Value and form of a stretch of text; a form of ``""`` means that it is no value."""
+    value = _clean(text)
+    return (value, form_of(value)) if _is_value(value) else (value, "")
+
+
 def _is_value(text: str) -> bool:
     return not (_ONLY_PUNCTUATION.match(text) or _LEFT_OUT_ALL.match(text) or text.lower() in STAND_INS)
 
 
-def _values(text: str, spans: list[Span]) -> list[str]:
-    return [v for v in (_clean(text[a:b]) for a, b in spans) if _is_value(v)]
+def _values(text: str, spans: list[Span]) -> list[tuple[str, str]]:
+    """(value, form) of the spans that hold a value."""
+    return [r for r in (_read(text[a:b]) for a, b in spans) if r[1]]
 
 
 def _comma_cheapest(codes: Codes) -> Callable[[str, list[Span]], list[Span]]:
@@ -124,8 +145,8 @@ def _comma_cheapest(codes: Codes) -> Callable[[str, list[Span]], list[Span]]:
             options = []
             for width in (1, 2):
                 if width <= i:
-                    value = _clean(text[atoms[i - width][0] : atoms[i - 1][1]])
-                    options.append((best[i - width][0] + (_cost(form_of(value), codes) if _is_value(value) else 0.0), width))
+                    form = _read(text[atoms[i - width][0] : atoms[i - 1][1]])[1]
+                    options.append((best[i - width][0] + (_cost(form, codes) if form else 0.0), width))
             best.append(min(options))
         out, i = [], len(atoms)
         while i:
@@ -137,17 +158,23 @@ def _comma_cheapest(codes: Codes) -> Callable[[str, list[Span]], list[Span]]:
     return cut
 
 
-def parses(text: str, codes: Codes) -> Iterator[tuple[int, list[str]]]:
-    """(number of optional delimiters used, values) of every dialect that differs on ``text``."""
-    text = _SUFFIX_COMMA.sub("\x00", text)
-    text = _LEFT_OUT_END.sub("", text)
-    for quoting in (True, False):
-        shield = [m.span() for m in _PROTECTED.finditer(text)] if quoting else []
-        if not quoting and not _PROTECTED.search(text):
-            break
+def _prepared(text: str) -> tuple[str, list[Span]]:
+    """Text with suffix commas hidden and no sign for left-out names at its end, and its protected parts."""
+    if "," in text and _SUFFIX_HINT.search(text):
+        text = _SUFFIX_COMMA.sub("\x00", text)
+    text = _without_left_out(text)
+    shield = [m.span() for m in _PROTECTED.finditer(text)] if '"' in text or "{" in text or "“" in text else []
+    return text, shield
+
+
+def parses(text: str, codes: Codes) -> Iterator[tuple[int, list[tuple[str, str]]]]:
+    """(number of optional delimiters used, (value, form) pairs) of every dialect that differs on ``text``."""
+    text, protected = _prepared(text)
+    commas: list[Callable[[str, list[Span]], list[Span]] | None] = [None, _comma_cheapest(codes)] if "," in text else [None]
+    optional = [p for p, sign in ((_AND, "and"), (_AMP, "&")) if sign in text.lower() and p.search(text)]
+    for quoting in (True, False) if protected else (True,):
+        shield = protected if quoting else []
         strong = _pieces(text, [(0, len(text))], _STRONG, shield)
-        optional = [p for p in (_AND, _AMP) if any(True for _ in p.finditer(text))]
-        commas: list[Callable[[str, list[Span]], list[Span]] | None] = [None, _comma_cheapest(codes)] if "," in text else [None]
         for used in product((False, True), repeat=len(optional)):
             spans = strong
             for pattern, on in zip(optional, used, strict=True):
@@ -157,39 +184,43 @@ def parses(text: str, codes: Codes) -> Iterator[tuple[int, list[str]]]:
                 cut = spans
                 if comma is not None:
                     cut = [x for s in spans for x in comma(text, _pieces(text, [s], _COMMA, shield))]
-                yield sum(used) + (comma is not None) + (not quoting) * 2, [v.replace("\x00", ",") for v in _values(text, cut)]
+                yield sum(used) + (comma is not None) + (not quoting) * 2, _values(text, cut)
 
 
-def cheapest(text: str, codes: Codes) -> list[str]:
-    """The values of ``text`` in its cheapest dialect; the dialect with fewer delimiters wins a tie."""
+def cheapest_pairs(text: str, codes: Codes) -> list[tuple[str, str]]:
+    """(value, form) pairs of ``text`` in its cheapest dialect; the dialect with fewer delimiters wins a tie."""
     if text.strip().lower() in STAND_INS:
         return []
     best: tuple[float, int] | None = None
-    values: list[str] = []
+    values: list[tuple[str, str]] = []
     for delimiters, found in parses(text, codes):
-        cost = delimiters * DELIMITER_BITS + sum(_cost(form_of(v), codes) for v in found)
+        cost = delimiters * DELIMITER_BITS + sum(_cost(form, codes) for _, form in found)
         if found and (best is None or (cost, delimiters) < best):
             best, values = (cost, delimiters), found
     return values
 
 
+def cheapest(text: str, codes: Codes) -> list[str]:
+    """The values of ``text`` in its cheapest dialect."""
+    return [value.replace("\x00", ",") for value, _ in cheapest_pairs(text, codes)]
+
+
 def _count_plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Forms of the values of fields that unmistakable delimiters cut; those of other fields count little."""
     for batch in batches:
         counts: Counter[str] = Counter()
         for text in batch["text"]:
-            text = _LEFT_OUT_END.sub("", _SUFFIX_COMMA.sub("\x00", text))
-            shield = [m.span() for m in _PROTECTED.finditer(text)]
+            text, shield = _prepared(text)
             values = _values(text, _pieces(text, [(0, len(text))], _STRONG, shield))
-            for v in values:
-                counts[form_of(v.replace("\x00", ","))] += 1.0 if len(values) > 1 else SINGLE_WEIGHT
+            for _, form in values:
+                counts[form] += 1.0 if len(values) > 1 else SINGLE_WEIGHT
         yield pd.DataFrame({"form": list(counts), "n": list(counts.values())}, columns=["form", "n"])
 
 
 def _count_chosen(codes: Codes) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            counts: Counter[str] = Counter(form_of(v) for text in batch["text"] for v in cheapest(text, codes))
+            counts: Counter[str] = Counter(form for text in batch["text"] for _, form in cheapest_pairs(text, codes))
             yield pd.DataFrame({"form": list(counts), "n": [float(x) for x in counts.values()]}, columns=["form", "n"])
 
     return run
