@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -37,11 +38,22 @@ FOLDED_TAGS = ("<wide>", "<narrow>", "<noBreak>", "<font>", "<initial>", "<media
 KEPT_VISIBLE = "…‥ſ"
 
 
+#: Blocks of letters that neither change under normalisation nor look like others; the tables skip them.
+STABLE_BLOCKS = [(0x3400, 0x4DC0), (0x4E00, 0xA000), (0xAC00, 0xD7A4), (0xD800, 0xF900), (0x17000, 0x18D00), (0x20000, 0x2F800), (0x30000, 0xE0000), (0xE0200, sys.maxunicode + 1)]
+
+
+def _points(start: int) -> Iterator[int]:
+    """Code points from ``start`` outside the stable blocks."""
+    for low, high in STABLE_BLOCKS:
+        yield from range(start, low)
+        start = high
+
+
 @lru_cache(maxsize=1)
 def _fold() -> dict[int, str]:
     """Replacement of every character that has a visible twin, is a space or is invisible."""
     fold: dict[int, str] = {}
-    for point in range(0x80, sys.maxunicode + 1):
+    for point in _points(0x80):
         char = chr(point)
         kind = unicodedata.category(char)
         if kind == "Cn" or kind == "Co" or kind == "Cs":
@@ -78,7 +90,7 @@ def _quick_check() -> re.Pattern[str]:
     """Runs of unstable characters, each with the one stable character before it."""
     fold = _fold()
     unstable = []
-    for point in range(sys.maxunicode + 1):
+    for point in _points(0):
         char = chr(point)
         if point in fold or (point >= 0x300 and (unicodedata.combining(char) or not unicodedata.is_normalized("NFC", char) or _composes(point))):
             unstable.append(point)
