@@ -22,7 +22,7 @@ COMMON_WORDS = {
     "es": "el la los las de del y en un una que es por con para se no al lo su más como pero fue ha han o qué eso esta este si antes después porque eran le les sus ya muy sin sobre entre también hasta hay donde cuando todo nos ni desde ser era otra otros junto sea",
 }
 LANGUAGES = list(COMMON_WORDS)
-WORD = r"[\p{L}][\p{L}\p{M}]*"
+NOT_WORD = r"[^\p{L}\p{M}]+"
 SYMBOL = r"[^\p{L}\p{M}\p{N}\s.,;:!?'\"()’“”«»¿¡-]"
 LINE_END = r"[.!?…:;]['\"”’»)\]]*\s*$"
 #: A line reads as prose when this share of its words is common in the document's language.
@@ -34,11 +34,6 @@ STEPS, KEPT_SHARE, LEAST_GROUP = 4, 0.6, 60
 CUTOFF = 40.0
 
 
-def _words_pattern(language: str) -> str:
-    words = "|".join(sorted(set(COMMON_WORDS[language].split()), key=lambda w: (-len(w), w)))
-    return rf"(?<![\p{{L}}\p{{M}}])(?:{words})(?![\p{{L}}\p{{M}}])"
-
-
 def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
@@ -51,16 +46,21 @@ def text_statistics(documents: DataFrame) -> DataFrame:
     ``LANGUAGES``. The lang column is not used, as it is not always right.
     """
     base = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("t"))
-    base = base.select("doc_id", "t", F.regexp_count("t", F.lit(WORD)).alias("words"), *[F.regexp_count("t", F.lit(_words_pattern(k))).alias(f"n_{k}") for k in LANGUAGES])
+    # Words are cut once; their membership in the word lists is a hash lookup each.
+    base = base.withColumn("w", F.split(F.regexp_replace("t", NOT_WORD, " "), " "))
+    held = lambda words, k: F.size(F.filter(words, lambda w: w.isin(COMMON_WORDS[k].split())))
+    base = base.select("doc_id", "t", F.size(F.filter("w", lambda w: w != "")).alias("words"), *[held(F.col("w"), k).alias(f"n_{k}") for k in LANGUAGES])
     most = F.greatest(*[F.col(f"n_{k}") for k in LANGUAGES])
     language = F.coalesce(*[F.when(F.col(f"n_{k}") == most, F.lit(k)) for k in LANGUAGES])
     base = base.withColumn("language", language).withColumn("common", most)
-    solid = F.length(F.regexp_replace("t", r"\s+", ""))
-    letters = F.length(F.regexp_replace("t", r"[^\p{L}\p{M}]+", ""))
     lines = F.filter(F.split("t", r"[\r\n]+"), lambda s: F.trim(s) != "")
-    base = base.withColumn("lines", lines).withColumn("solid", solid).withColumn("letters", letters)
-    count = lambda s: F.coalesce(*[F.when(F.col("language") == k, F.regexp_count(s, F.lit(_words_pattern(k)))) for k in LANGUAGES])
-    prose = F.aggregate("lines", F.lit(0), lambda acc, s: acc + F.when(count(s) >= F.regexp_count(s, F.lit(WORD)) * PROSE_LINE, F.when(count(s) > 0, F.length(s)).otherwise(0)).otherwise(0))
+    base = base.withColumn("lines", lines).withColumn("solid", F.length(F.regexp_replace("t", r"\s+", ""))).withColumn("letters", F.length(F.regexp_replace("t", r"[^\p{L}\p{M}]+", "")))
+    # Per line: its length, its words and how many of them are common in the document's language.
+    own = lambda words: F.coalesce(*[F.when(F.col("language") == k, held(words, k)) for k in LANGUAGES])
+    parts = F.transform("lines", lambda s: F.struct(F.length(s).alias("n"), F.filter(F.split(F.regexp_replace(s, NOT_WORD, " "), " "), lambda w: w != "").alias("w")))
+    base = base.withColumn("parts", F.transform(parts, lambda p: F.struct(p["n"].alias("n"), F.size(p["w"]).alias("words"), own(p["w"]).alias("common"))))
+    prose = F.aggregate("parts", F.lit(0), lambda acc, p: acc + F.when((p["common"] > 0) & (p["common"] >= p["words"] * PROSE_LINE), p["n"]).otherwise(0))
+    weight = F.aggregate("parts", F.lit(0), lambda acc, p: acc + p["n"])
     ended = F.size(F.filter("lines", lambda s: s.rlike(LINE_END)))
     sentences = F.filter(F.split("t", r"[.!?\r\n|]+\s*"), lambda s: F.length(s) >= 12)
     once = F.array_distinct(sentences)
@@ -77,7 +77,7 @@ def text_statistics(documents: DataFrame) -> DataFrame:
         _ratio(F.regexp_count("t", F.lit(r"\p{N}")), F.col("solid")).alias("digit_ratio"),
         _ratio(ended, F.size("lines")).alias("line_end_share"),
         _ratio(F.col("common"), F.col("words")).alias("common_share"),
-        _ratio(prose, F.greatest(weigh(F.col("lines")), F.lit(1))).alias("prose_share"),
+        _ratio(prose, F.greatest(weight, F.lit(1))).alias("prose_share"),
         (1 - F.when(F.size(sentences) > 0, _ratio(weigh(once), weigh(sentences))).otherwise(1.0)).alias("repeat_share"),
         F.log1p(_ratio(F.col("solid"), F.size(F.filter(F.split("t", r"\s+"), lambda w: w != "")))).alias("unspaced"),
     )
