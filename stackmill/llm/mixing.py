@@ -38,7 +38,7 @@ def mixed(items: DataFrame, targets: DataFrame, seed: int = 7, bucket_rows: int
     source are in no mix. A document occurs at most ``max_repeats`` times, the k-th time only after
     all of its source occurred k - 1 times. Rows that repeat a doc_id are documents of their own.
     """
-    items = cut(items.filter("tokens > 0 AND source IS NOT NULL").select("doc_id", "source", "tokens"))
+    items = cut(items.select("doc_id", "source", "tokens")).filter("tokens > 0 AND source IS NOT NULL")  # a filter below the cut would count tokens twice
     sizes = items.groupBy("source").agg(F.sum("tokens").alias("have"), F.count("*").alias("rows"))
     plan = cut(budgets(sizes, targets))
     # Repetitions that some mix begins, per source: a row per source of the targets.
