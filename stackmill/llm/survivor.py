@@ -15,6 +15,7 @@ from stackmill.llm.lookalike import canonical_text
 from stackmill.llm.names import unaccented
 from stackmill.operators.packed_values import LEFT_OUT, Codes, dialect_codes, values_column
 from stackmill.plans.ordered import with_next
+from stackmill.session import cut
 
 # What stands for a missing value, and the marks of a text that was cut short.
 MISSING = ["", "-", "--", "?", "n/a", "na", "n.a.", "null", "none", "nil", "nan", "unknown", "unknown title", "untitled", "no title", "title not available", "not available", "tbd", "tba", "n.n.", "nn", "unknown author", "unknown authors", "anonymous", "anon", "authors missing", "author missing", "no author", "title missing", "missing", "n.d.", "nd"]
@@ -63,6 +64,7 @@ def best_values(held: DataFrame) -> DataFrame:
     the smallest id. A field without a whole value is null. Rows without a key are in no group, a
     missing time is the earliest, an unknown resolver has the least trust.
     """
+    held = cut(held)
     ranked = lambda value: F.struct("rank.trust", "rank.at", "rank.low", F.col(value).alias("value"))
     forms = held.filter("has_title").groupBy("dedup_key", "form").agg(F.max(F.when(F.col("whole_title"), ranked("title"))).alias("top"), F.max(F.when(F.col("whole_title"), F.col("rank.at"))).alias("latest"))
     uncut = with_next(forms, "dedup_key", "form").filter("top IS NOT NULL AND NOT coalesce(startswith(next, form), false)")
