@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackmill.functions import failures, identifiers, naming, urls
+from stackmill.functions import failures, identifiers, metadata, naming, urls
 from stackmill.operators import exports, history, parsing, queue, rates, routing, topics, web
 from stackmill.operators.raw_records import load_raw_records, loaded_entries
 from stackmill.plans.catalog_sql import ORACLE_SQL
@@ -349,6 +349,43 @@ def crossref_metadata(spark: SparkSession, folder: str) -> DataFrame:
     return parsed.select(F.col("m.DOI").alias("doi"), F.try_element_at("m.title", F.lit(1)).alias("title"), names.alias("authors"), F.col("m.published.date-parts")[0][0].cast("string").alias("year"))
 
 
+@query
+def crossref_pdf_pick(spark: SparkSession, folder: str) -> DataFrame:
+    """The link a work's response offers, by type and intended use."""
+    k = F.col("p_partkey") % 4
+    link = lambda name, kind, use: F.struct(F.lit(f"https://x.example/{name}").alias("URL"), kind.alias("content-type"), use.alias("intended-application"))
+    none = F.lit(None).cast("string")
+    links = F.array(link("a", none, F.when(k != 3, "Text-Mining")), link("b", F.when(k == 0, "application/pdf; v=1"), none), link("c", F.lit("text/html"), F.when(k <= 1, "similarity-checking")))
+    parsed = F.from_json(F.to_json(links), metadata.LINK_DDL)
+    return table(spark, folder, "part").select("p_partkey", metadata.best_link(parsed).alias("pdf"))
+
+
+@query
+def open_pdf_pick(spark: SparkSession, folder: str) -> DataFrame:
+    """Open copy, preprint or publisher."""
+    k = F.col("p_partkey") % 5
+    found = F.when(k == 0, "https://repo.example/x").when(k == 1, "https://doi.org/10.1/x").when(k == 2, "https://a.acm.org/x").when(k == 3, "http://repo.example/x")
+    return table(spark, folder, "part").select("p_partkey", metadata.best_open_pdf(found, F.when(k == 2, "2101.00001").otherwise(""), F.lit("https://publisher.example/p"), ["acm.org"]).alias("pdf"))
+
+
+@query
+def mdpi_store_url(spark: SparkSession, folder: str) -> DataFrame:
+    """File-store addresses from DOIs with padded and plain issue numbers."""
+    volume, issue = (F.col("p_partkey") % 30 + 1).cast("string"), (F.col("p_partkey") % 12 + 1).cast("string")
+    padded = F.when(F.col("p_partkey") % 2 == 0, F.lpad(issue, 2, "0")).otherwise(issue)
+    doi = F.concat(F.lit("10.3390/Electronics"), volume, padded, F.lit("9"), F.col("p_partkey"))
+    slug = metadata.journal_slug(doi)
+    number = metadata.article_number(doi, slug, volume, padded)
+    return table(spark, folder, "part").select("p_partkey", metadata.store_url(slug, volume, number).alias("url"))
+
+
+@query
+def cookie_headers(spark: SparkSession, folder: str) -> DataFrame:
+    secure, domain = F.col("c_custkey") % 2 == 0, F.concat(F.lit(".d"), F.col("c_nationkey"), F.lit(".example"))
+    header = metadata.set_cookie(F.col("c_name"), F.lit("v"), domain, F.lit("/p"), secure, (F.col("c_custkey") % 3) * 86_400_000)
+    return table(spark, folder, "customer").select("c_custkey", header.alias("header"), metadata.cookie_origin(domain, F.lit("/p"), secure).alias("origin"))
+
+
 def _routable(spark: SparkSession, folder: str) -> DataFrame:
     """Items of all kinds: DOIs and addresses re-rendered for every source by id."""
     prefixes = ["10.1109/", "10.1093/", "10.1007/", "10.1016/", "10.1145/", "10.1002/", "10.1111/", "10.3390/", "10.48550/arXiv.2101.0", "10.5555/"]
@@ -402,6 +439,36 @@ def parse_type_counts(spark: SparkSession, folder: str) -> DataFrame:
     return parsing.type_counts(parsing.parsed_items(_inputs(spark, folder)))
 
 
+def _mixed_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts with one address and one DOI each, wrapped in punctuation."""
+    n = F.col("p_partkey")
+    text = F.concat(F.lit("See (https://H.example:443/a_("), n, F.lit(")), then doi:10.5555/Part("), n, F.lit(")). End."))
+    return table(spark, folder, "part").select(n.alias("input_id"), text.alias("text"))
+
+
+@query
+def parse_urls(spark: SparkSession, folder: str) -> DataFrame:
+    found = parsing.parsed_items(_mixed_texts(spark, folder))
+    return found.filter("kind = 'url'").select("input_id", "value")
+
+
+@query
+def parse_dois(spark: SparkSession, folder: str) -> DataFrame:
+    found = parsing.parsed_items(_mixed_texts(spark, folder))
+    return found.filter("kind = 'doi'").select("input_id", "ord", "value")
+
+
+@query
+def parse_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """One line on the references of the customers and the items of the parts."""
+    items = parsing.type_counts(parsing.parsed_items(_mixed_texts(spark, folder)))
+    levels = parsing.references(_citations(spark, folder)).agg(*[F.count_if(F.col("confidence") == k).alias(k) for k in ("high", "medium", "low")])
+    both = items.unionByName(levels, allowMissingColumns=True)  # one row each
+    both = both.agg(*[F.max(c).alias(c) for c in both.columns])
+    counts = {"url": F.col("url_items"), "doi": F.col("doi_items"), "reference": F.col("high") + F.col("medium") + F.col("low"), "bibtex": F.col("bibtex_items")}
+    return both.select(metadata.parse_summary(counts, {k: F.col(k) for k in ("high", "medium", "low")}).alias("summary"))
+
+
 @query
 def parse_known_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Identifiers that are whole lines, in normal form."""

@@ -136,6 +136,13 @@ ORACLE_SQL: dict[str, str] = {
     "html_meta_tags": "SELECT bib_id, trim(title) AS title, coalesce(doi, 'none') AS doi, CASE WHEN key = entry_type THEN key ELSE key || '|' || entry_type END AS authors FROM bibtex_entries WHERE title IS NOT NULL AND NOT contains(title, '\"')",
     "html_title": "SELECT bib_id, trim(title) AS title, '/files/' || bib_id || '.pdf' AS pdf FROM bibtex_entries WHERE title IS NOT NULL AND NOT contains(title, '\"')",
     "crossref_metadata": "SELECT work_doi AS doi, 'Work ' || work_doi AS title, string_agg(concat_ws(', ', family, given), '; ' ORDER BY fetched_at, seq, row_id) AS authors, '2001' AS year FROM crossref_authors WHERE work_doi IS NOT NULL GROUP BY 1",
+    "crossref_pdf_pick": "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'https://x.example/b' WHEN 1 THEN 'https://x.example/c' WHEN 2 THEN 'https://x.example/a' END AS pdf FROM part",
+    "open_pdf_pick": "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'https://repo.example/x' WHEN 2 THEN 'https://arxiv.org/pdf/2101.00001.pdf' ELSE 'https://publisher.example/p' END AS pdf FROM part",
+    "mdpi_store_url": "SELECT p_partkey, 'https://mdpi-res.com/d_attachment/electronics/' || s || '/article_deploy/' || s || '.pdf' AS url FROM (SELECT p_partkey, 'electronics-' || (p_partkey % 30 + 1) || '-' || CASE WHEN length('9' || p_partkey) < 5 THEN lpad('9' || p_partkey, 5, '0') ELSE '9' || p_partkey END AS s FROM part)",
+    "cookie_headers": "SELECT c_custkey, concat_ws('; ', c_name || '=v', 'Domain=.d' || c_nationkey || '.example', 'Path=/p', CASE WHEN c_custkey % 2 = 0 THEN 'Secure' END, CASE WHEN c_custkey % 3 > 0 THEN 'Expires=' || strftime(to_timestamp((c_custkey % 3) * 86400000) AT TIME ZONE 'UTC', '%a, %d %b %Y %H:%M:%S') || ' GMT' END) AS header, CASE WHEN c_custkey % 2 = 0 THEN 'https://d' ELSE 'http://d' END || c_nationkey || '.example/p' AS origin FROM customer",
+    "parse_urls": "SELECT p_partkey AS input_id, 'https://h.example/a_(' || p_partkey || ')' AS value FROM part",
+    "parse_dois": "SELECT p_partkey AS input_id, CAST(1 AS INT) AS ord, '10.5555/Part(' || p_partkey || ')' AS value FROM part",
+    "parse_summary": "SELECT 'Parsed ' || (2 * p + c) || ' items: ' || p || ' URLs, ' || p || ' DOIs, ' || c || ' references, 0 BibTeX [reference confidence: high=' || h || ', medium=' || (c - h) || ', low=0]' AS summary FROM (SELECT count(*) AS p FROM part), (SELECT count(*) AS c, count(*) FILTER (WHERE c_custkey % 4 IN (0, 3)) AS h FROM customer)",
     "resolver_route": f"SELECT p_partkey * 3 AS id, {_PREFIX_RULES} AS rule FROM part UNION ALL SELECT p_partkey * 3 + 1, {_PAGE_RULES} FROM part UNION ALL SELECT p_partkey * 3 + 2, CASE p_partkey % 3 WHEN 0 THEN 'pubmed' END FROM part",
     "queue_route": "SELECT k AS kind, CASE k WHEN 'url' THEN CASE WHEN regexp_matches(url, '^\\s*[Hh][Tt][Tt][Pp][Ss]?://') THEN 'direct' ELSE 'direct' END WHEN 'doi' THEN 'crossref' END AS rule, count(*) AS items FROM (SELECT CASE source_type WHEN 'direct_url' THEN 'url' ELSE source_type END AS k, url FROM queue_items) GROUP BY 1, 2",
     "resolver_redirect_chase": "SELECT p_partkey, 'https://r.example/' || (p_partkey - p_partkey % 8) AS final_url, CAST(p_partkey % 8 AS INT) AS hops FROM part",
