@@ -19,6 +19,7 @@ from stackmill.session import cut
 
 #: Items of a partition on average, and rounds of exchange at most.
 PARTITION_ITEMS, ROUNDS = 20_000, 4
+MOST_SPECS = 1000
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
@@ -91,8 +92,10 @@ def pieces(items: DataFrame, specs: DataFrame) -> DataFrame:
     positive capacity are left out; repeated items are packed each.
     """
     specs = specs.select("spec", F.col("capacity_tokens").cast("int").alias("capacity")).filter("capacity > 0 AND spec IS NOT NULL").distinct()
-    # The specs are a fixed list of sizes (TESTDATA: three rows); it is collected with a stated bound and unrolled.
-    rows = specs.orderBy("spec").limit(1000).collect()
+    # The sizes are a short list; it is unrolled into the plan, and a longer one is refused, never cut.
+    rows = specs.orderBy("spec").limit(MOST_SPECS + 1).collect()
+    if len(rows) > MOST_SPECS:
+        raise ValueError(f"more than {MOST_SPECS} container sizes")
     offered = F.array(*[F.struct(F.lit(r["spec"]).alias("spec"), F.lit(r["capacity"]).alias("capacity")) for r in rows]) if rows else F.array().cast("array<struct<spec:string,capacity:int>>")
     each = items.select("doc_id", F.greatest(F.coalesce("tokens", F.lit(0)), F.lit(0)).alias("total"), F.inline(offered))
     last = F.greatest(F.ceil(F.col("total") / F.col("capacity")).cast("int"), F.lit(1)) - 1
