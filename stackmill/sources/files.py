@@ -11,7 +11,7 @@ REGISTRY_VERSION = 1
 
 def whole_texts(spark: SparkSession, folder: str, pattern: str, recursive: bool = False) -> DataFrame:
     """(path, text) of the files that match a glob pattern, each as one row."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", pattern).text(folder)
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=recursive, pathGlobFilter=pattern)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
