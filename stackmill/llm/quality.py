@@ -8,6 +8,9 @@ contribution per statistic.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,14 +50,14 @@ def text_statistics(documents: DataFrame) -> DataFrame:
     """
     base = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("t"))
     # Words are cut once; their membership in the word lists is a hash lookup each.
-    base = base.withColumn("w", F.split(F.regexp_replace("t", NOT_WORD, " "), " "))
+    base = base.withColumn("plain", F.regexp_replace("t", NOT_WORD, " ")).withColumn("letters", F.length(F.replace("plain", F.lit(" ")))).withColumn("w", F.split("plain", " "))
     held = lambda words, k: F.size(F.filter(words, lambda w: w.isin(COMMON_WORDS[k].split())))
-    base = base.select("doc_id", "t", F.size(F.filter("w", lambda w: w != "")).alias("words"), *[held(F.col("w"), k).alias(f"n_{k}") for k in LANGUAGES])
+    base = base.select("doc_id", "t", "letters", F.size(F.filter("w", lambda w: w != "")).alias("words"), *[held(F.col("w"), k).alias(f"n_{k}") for k in LANGUAGES])
     most = F.greatest(*[F.col(f"n_{k}") for k in LANGUAGES])
     language = F.coalesce(*[F.when(F.col(f"n_{k}") == most, F.lit(k)) for k in LANGUAGES])
     base = base.withColumn("language", language).withColumn("common", most)
     lines = F.filter(F.split("t", r"[\r\n]+"), lambda s: F.trim(s) != "")
-    base = base.withColumn("lines", lines).withColumn("solid", F.length(F.regexp_replace("t", r"\s+", ""))).withColumn("letters", F.length(F.regexp_replace("t", r"[^\p{L}\p{M}]+", "")))
+    base = base.withColumn("lines", lines).withColumn("solid", F.length(F.regexp_replace("t", r"\s+", "")))
     # Per line: its length, its words and how many of them are common in the document's language.
     own = lambda words: F.coalesce(*[F.when(F.col("language") == k, held(words, k)) for k in LANGUAGES])
     parts = F.transform("lines", lambda s: F.struct(F.length(s).alias("n"), F.filter(F.split(F.regexp_replace(s, NOT_WORD, " "), " "), lambda w: w != "").alias("w")))
@@ -113,14 +116,34 @@ def _model(moments: dict[str | None, tuple[int, np.ndarray, np.ndarray]]) -> dic
     return out
 
 
+def _by_language(model: dict[str, tuple[list[float], list[float]]], term: Callable[[list[Column], np.ndarray], Column]) -> Column:
+    """``term`` of the deviations and the precision of the document's language, as plain arithmetic."""
+    branches = []
+    for language, (mean, precision) in model.items():
+        deviations = [F.col(c) - F.lit(m) for c, m in zip(STATISTICS, mean, strict=True)]
+        branches.append(F.when(F.col("language") == language, term(deviations, np.array(precision).reshape(len(mean), -1))))
+    return F.coalesce(*branches)
+
+
+def _total(terms: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a + b, terms)
+
+
 def _distances(rows: DataFrame, model: dict[str, tuple[list[float], list[float]]]) -> DataFrame:
-    """Adds ``contributions`` (one per statistic) and their sum, the squared distance."""
-    size = len(STATISTICS)
-    pick = lambda k: F.coalesce(*[F.when(F.col("language") == lang, F.array(*map(F.lit, m[k]))) for lang, m in model.items()])
-    rows = rows.withColumn("_x", F.array(*STATISTICS)).withColumn("_m", pick(0)).withColumn("_p", pick(1))
-    rows = rows.withColumn("_d", F.expr("zip_with(_x, _m, (x, m) -> x - m)"))
-    parts = F.expr(f"transform(sequence(0, {size - 1}), i -> _d[i] * aggregate(sequence(0, {size - 1}), 0D, (acc, j) -> acc + _p[i * {size} + j] * _d[j]))")
-    return rows.withColumn("contributions", parts).withColumn("distance", F.expr("aggregate(contributions, 0D, (acc, c) -> acc + c)")).drop("_x", "_m", "_p", "_d")
+    """Adds ``distance``: the squared length of the deviations after the Cholesky factor of the precision."""
+
+    def length(d: list[Column], precision: np.ndarray) -> Column:
+        factor = np.linalg.cholesky(precision)
+        rows = [_total(d[i] * F.lit(float(factor[i, k])) for i in range(k, len(d))) for k in range(len(d))]
+        return _total(r * r for r in rows)
+
+    return rows.withColumn("distance", _by_language(model, length))
+
+
+def _contributions(model: dict[str, tuple[list[float], list[float]]]) -> list[Column]:
+    """What each statistic adds to the squared distance: its deviation times its row of the precision."""
+    part = lambda i: _by_language(model, lambda d, p: d[i] * _total(d[j] * F.lit(float(p[i, j])) for j in range(len(d))))
+    return [part(i).alias(f"from_{c}") for i, c in enumerate(STATISTICS)]
 
 
 def prose_model(rows: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
@@ -155,9 +178,9 @@ def quality(documents: DataFrame) -> DataFrame:
     measured each; an empty table gives no rows.
     """
     rows = cut(text_statistics(documents))
-    out = _distances(rows, prose_model(rows))
-    parts = [F.col("contributions")[i].alias(f"from_{c}") for i, c in enumerate(STATISTICS)]
-    return out.select("doc_id", "language", "words", "line_count", "letter_count", *STATISTICS, "distance", (F.col("distance") <= CUTOFF).alias("natural"), *parts)
+    model = prose_model(rows)
+    out = _distances(rows, model)
+    return out.select("doc_id", "language", "words", "line_count", "letter_count", *STATISTICS, "distance", (F.col("distance") <= CUTOFF).alias("natural"), *_contributions(model))
 
 
 def unnatural(measured: DataFrame) -> DataFrame:
