@@ -123,8 +123,7 @@ def search_candidates(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def search_ranked(spark: SparkSession, folder: str) -> DataFrame:
     """Best matches by kind, likeness and recency."""
-    plain = _log(spark, folder).filter(~F.col("title").rlike(r"[^\x00-\x7F]") & ~F.coalesce("authors", F.lit("")).rlike(r"[^\x00-\x7F]"))
-    found = history.ranked(history.search_candidates(plain), "Granular", 200)
+    found = history.ranked(history.search_candidates(_log(spark, folder)), "Granular", 200)
     return found.select("id", "match_kind", F.round("similarity", 6).alias("similarity"), "matched_field")
 
 
