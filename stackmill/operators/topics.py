@@ -35,7 +35,7 @@ def rake(documents: DataFrame, id_column: str = "doc_id", text_column: str = "te
     (summed lengths of the phrases it is in) over its frequency, a phrase the sum of its words.
     """
     stop = f"\\b(?:{'|'.join(STOP_WORDS.split())})\\b|[^\\p{{L}}\\p{{N}}\\s'-]+|[\\r\\n]+"
-    phrases = F.filter(F.transform(F.split(F.lower(text_column), stop), lambda p: F.trim(p)), lambda p: p.rlike(r"\p{L}") & (F.size(F.split(p, r"\s+")) <= 5))
+    phrases = F.filter(F.transform(F.split(F.lower(text_column), stop), lambda p: F.trim(p)), lambda p: p.rlike(r"\p{L}"))
     each = documents.select(F.col(id_column).alias("doc_id"), F.posexplode(phrases).alias("no", "phrase"))
     words = each.withColumn("words", F.split("phrase", r"\s+")).select("doc_id", "no", F.size("words").alias("n"), F.explode("words").alias("word"))
     scores = words.groupBy("doc_id", "word").agg((F.sum("n") / F.count("*")).alias("s"))

@@ -125,6 +125,12 @@ def test_topics_and_rake(spark):
     assert [(r["doc_id"], r["phrase"], r["score"]) for r in best] == [(1, "linear constraints", 4.0)]
 
 
+def test_rake_keeps_long_phrases(spark):
+    docs = spark.createDataFrame([(1, "Cold tidal river delta sediment core samples are dry. Tidal samples.")], "doc_id long, text string")
+    got = [(r["rank"], r["phrase"], r["score"]) for r in topics.rake(docs).orderBy("rank").collect()]
+    assert got == [(1, "cold tidal river delta sediment core samples", 44.0), (2, "tidal samples", 9.0), (3, "dry", 1.0)]
+
+
 def test_exports(spark):
     corpus = spark.createDataFrame([("c/a.json", "A & B", ["Ann Lee", "Roe, R."], "2017-06-12", None, "https://x.org/1_2"), ("c/b.json", None, [], None, None, None)], "path string, title string, authors array<string>, date string, doi string, url string")
     entries = [r["entry"] for r in exports.bibtex_entries(corpus).orderBy("path").collect()]
