@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stackmill.llm.lookalike import canonical_text
 from stackmill.llm.names import unaccented
-from stackmill.operators.packed_values import LEFT_OUT, Codes, dialect_codes, values_column
+from stackmill.operators.packed_values import LEFT_OUT, Codes, dialect_codes, values_count
 from stackmill.plans.ordered import with_next
 from stackmill.session import cut
 
@@ -39,7 +39,7 @@ def captures(df: DataFrame, resolvers: DataFrame, codes: Codes | None = None) ->
     trust = resolvers.groupBy("resolver").agg(F.max("trust").alias("trust"))
     base = df.select("meta_id", "dedup_key", "resolver", "title", "authors", "year", "resolved_at").filter("dedup_key IS NOT NULL")
     base = base.join(trust, "resolver", "left")
-    marked_authors = F.coalesce(F.lower("authors").rlike(LEFT_OUT), F.lit(False))
+    marked_authors = F.coalesce(F.col("authors").rlike(f"(?i){LEFT_OUT}"), F.lit(False))
     form = F.regexp_replace(F.trim(unaccented(canonical_text(F.col("title")))), r"[\s.,;:!?-]+$", "")
     return base.select(
         "dedup_key",
@@ -50,7 +50,7 @@ def captures(df: DataFrame, resolvers: DataFrame, codes: Codes | None = None) ->
         form.alias("form"),
         (~_missing(F.col("title"))).alias("has_title"),
         (~_missing(F.col("title")) & ~F.col("title").rlike(CUT_MARK)).alias("whole_title"),
-        F.when(~_missing(F.col("authors")), F.size(values_column(F.col("authors"), codes))).otherwise(0).alias("listed"),
+        F.when(~_missing(F.col("authors")), values_count(F.col("authors"), codes)).otherwise(0).alias("listed"),
         (~_missing(F.col("authors")) & ~marked_authors).alias("whole_authors"),
         (F.coalesce(F.size(_years(F.col("year"))), F.lit(0)) == 1).alias("whole_year"),
     )
