@@ -401,15 +401,3 @@ def values_count(column: Column, codes: Codes) -> Column:
             yield pd.Series([None if text is None else parser.count(text) for text in texts], dtype="Int32")
 
     return count(column)
-
-
-def values_column(column: Column, codes: Codes) -> Column:
-    """The values of a packed column as an array, in place; null stays null."""
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        parser = Parser(codes)
-        for texts in batches:
-            yield texts.map(parser.values, na_action="ignore")
-
-    return split(column)
