@@ -48,5 +48,18 @@ def test_distance_equals_numpy(spark, folder):
     np.testing.assert_allclose(got.loc[data[data["language"] == "en"]["doc_id"]].to_numpy(), want, rtol=1e-9)
 
 
+def test_a_language_without_a_word_list_is_named_and_not_judged(spark):
+    rows = [(i, PROSE + f" It was number {i}.", "en") for i in range(20)] + [(100, "Il gatto e il cane. " * 20, "it"), (101, "1,2,3\n4,5,6\n" * 20, None), (102, PROSE, " EN-gb")]
+    got = {r["doc_id"]: (r["judged"], r["natural"]) for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[100] == (False, None) and got[101] == (True, False) and got[102] == (True, True) and got[3] == (True, True)
+
+
+def test_small_languages_lean_on_all_without_a_step(spark):
+    names, n = list(quality.STATISTICS), len(quality.STATISTICS)
+    base = {None: (1000, np.ones(n), np.eye(n))}
+    means = [quality._model({**base, "de": (k, np.zeros(n), np.eye(n))})["de"][0][0] for k in (0, 59, 60, 61, 10**6)]
+    assert means[0] == 1.0 and means[1] > means[2] > means[3] > means[4] and means[1] - means[3] < 0.02 and means[4] < 1e-3 and len(names) == n
+
+
 def test_empty_table(spark):
     assert quality.quality(spark.createDataFrame([], "doc_id long, text string")).count() == 0
