@@ -1,7 +1,7 @@
 """Linking names typed by people to a reference list (problem 5).
 
-A pigeonhole segment join: a reference key of length L is cut into EDITS + 1 segments; when a typed
-key is within EDITS edits, one segment occurs in it unchanged, shifted by a bounded number of
+A pigeonhole segment join: a reference key is cut into one segment more than the edits it bears;
+when a typed key is within them, one segment occurs in it unchanged, shifted by a bounded number of
 places. Typed keys look their shifted substrings up in the inverted index of segments, candidates
 are verified with Spark's banded edit distance, and the other parts of the name decide among them.
 Everything runs in the JVM on distinct typed names; records meet their result at the end.
@@ -33,6 +33,7 @@ NICKNAMES = {
     "bill": ["william"], "billy": ["william"], "will": ["william"], "willy": ["william"], "liam": ["william"], "walt": ["walter"], "hank": ["henry"], "harry": ["henry", "harold"],
 }
 ABBREVIATIONS = {"inst": "institute", "ctr": "centre", "cent": "centre", "center": "centre", "lab": "laboratory", "labs": "laboratory", "consort": "consortium", "univ": "university", "dept": "department", "dep": "department", "intl": "international", "int": "international", "natl": "national", "soc": "society", "sect": "section", "sec": "section", "res": "research", "assoc": "association", "acad": "academy", "fac": "faculty", "col": "college"}
+HONORIFICS = ["prof", "professor", "dr", "mr", "mrs", "phd"]
 MINOR_WORDS = ["for", "of", "on", "and", "the", "in", "at"]
 
 
@@ -83,24 +84,27 @@ def typed_parts(name: Column) -> Column:
 
     Kinds: ``p`` a person (key is the family name), ``o`` an organisation (key is its name in full
     words), ``a`` a single word that may be an acronym. Names in which the order of the parts is
-    open have two readings.
+    open have two readings; names of five or more words are read as an organisation and as a person.
+    Titles of persons are no part of the name.
     """
     flat = F.trim(F.regexp_replace(unaccented(name), r"[\"{}“”\[\]]", " "))
     flat = F.regexp_replace(flat, r",?\s*\b(jr|sr)\b\.?\s*$", "")
+    titles = rf"(?<![^\s,])(?:{'|'.join(HONORIFICS)})\.?(?=[\s,]|$)"
+    flat = F.when(flat.rlike(titles), F.regexp_replace(F.regexp_replace(flat, titles, " "), r"^[\s,]+|[\s,]+$", "")).otherwise(flat)
     words = F.filter(F.split(F.regexp_replace(flat, r"[\s,]+", " "), " "), lambda w: w != "")
     n = F.size(words)
     reading = lambda kind, key, given: F.struct(F.lit(kind).alias("kind"), merged(key).alias("key"), given.alias("given"))
-    is_org = flat.rlike(r"\b(for|of|on|and)\b|&") | (n >= 5)
+    is_org = flat.rlike(r"\b(for|of|on|and)\b|&")
+    organisation = reading("o", _organisation_key(flat), F.lit(""))
     before, after = F.trim(F.split_part(flat, F.lit(","), F.lit(1))), F.trim(F.regexp_replace(flat, r"^[^,]*,\s*", ""))
     last, first = F.element_at(words, -1), F.element_at(words, 1)
     without_last, without_first = F.array_join(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), " "), F.array_join(F.slice(words, 2, F.greatest(n - 1, F.lit(1))), " ")
     empty = F.array().cast("array<struct<kind:string,key:string,given:string>>")
     return (
         F.when(name.isNull() | (n == 0), empty)
-        .when(is_org, F.array(reading("o", _organisation_key(flat), F.lit(""))))
+        .when(is_org, F.array(organisation))
         .when(n == 1, F.array(reading("a", F.regexp_replace(first, r"\.", ""), F.lit(""))))
-        .when(flat.contains(","), F.array(reading("p", before, after), reading("p", after, before)))
-        .otherwise(F.array(reading("p", last, without_last), reading("p", first, without_first)))
+        .otherwise(F.concat(F.when(n >= 5, F.array(organisation)).otherwise(empty), F.when(flat.contains(","), F.array(reading("p", before, after), reading("p", after, before))).otherwise(F.array(reading("p", last, without_last), reading("p", first, without_first)))))
     )
 
 
@@ -116,35 +120,52 @@ def reference_entities(df: DataFrame) -> DataFrame:
     return people.unionByName(full).unionByName(short).distinct()
 
 
+def _reach(length: str) -> str:
+    """Edits that a reference key of this length bears: one per four letters, EDITS at most."""
+    return f"least({EDITS}, {length} div 4)"
+
+
+def _start(place: str, length: str) -> str:
+    """Where a segment of a key begins, counted from 0; a key has one segment more than edits."""
+    return f"int({place} * {length} div ({_reach(length)} + 1))"
+
+
 def _segments() -> Column:
-    """Segments of a reference key: (len, i, seg) for i in 0..EDITS."""
-    k = EDITS + 1
-    return F.expr(f"transform(sequence(0, {EDITS}), i -> struct(length(key) AS len, i AS i, substring(key, int(i * length(key) div {k}) + 1, int((i + 1) * length(key) div {k}) - int(i * length(key) div {k})) AS seg))")
+    """Segments of a reference key: (len, i, seg)."""
+    size = "length(key)"
+    return F.expr(f"transform(sequence(0, {_reach(size)}), i -> struct({size} AS len, i AS i, substring(key, {_start('i', size)} + 1, {_start('(i + 1)', size)} - {_start('i', size)}) AS seg))")
 
 
 def _probes() -> Column:
     """Substrings of a typed key at every place where a segment of a key of a near length can lie."""
-    k = EDITS + 1
-    start, size = f"int(i * l div {k})", f"(int((i + 1) * l div {k}) - int(i * l div {k}))"
-    low = f"greatest(0, {start} - int(({EDITS} - length(key) + l) div 2))"
-    high = f"least(length(key) - {size}, {start} + int(({EDITS} + length(key) - l) div 2))"
+    start, size = _start("i", "l"), f"({_start('(i + 1)', 'l')} - {_start('i', 'l')})"
+    low = f"greatest(0, {start} - int(({_reach('l')} - length(key) + l) div 2))"
+    high = f"least(length(key) - {size}, {start} + int(({_reach('l')} + length(key) - l) div 2))"
     place = f"transform(CASE WHEN {low} <= {high} THEN sequence({low}, {high}) ELSE array() END, at -> struct(l AS len, i AS i, substring(key, at + 1, {size}) AS seg))"
-    return F.expr(f"flatten(transform(filter(sequence(length(key) - {EDITS}, length(key) + {EDITS}), x -> x > {EDITS}), l -> flatten(transform(sequence(0, {EDITS}), i -> {place}))))")
+    return F.expr(f"flatten(transform(filter(sequence(length(key) - {EDITS}, length(key) + {EDITS}), x -> x >= 4 AND abs(x - length(key)) <= {_reach('x')}), l -> flatten(transform(sequence(0, {_reach('l')}), i -> {place}))))")
+
+
+def _letters(key: str) -> Column:
+    return F.array_join(F.array_sort(F.split(key, "")), "")
 
 
 def segment_links(typed: DataFrame, reference: DataFrame) -> DataFrame:
     """(kind, key, entity_key, edits): every typed key within reach of a reference key.
 
-    ``typed`` and ``reference`` have (kind, key). Reach is one edit per four letters or one swap of
-    letters, EDITS at most; keys too short for segments and acronyms must be equal.
+    ``typed`` and ``reference`` have (kind, key). Reach is one edit per four letters, EDITS at most,
+    or one swap of letters; acronyms and keys of one or two letters must be equal. A reference key
+    is cut into as many segments as its reach needs, so that segments stay long; swaps within keys
+    of less than eight letters, which may spoil both segments, are found by their equal letters.
     """
     reference, typed = reference.select("kind", F.col("key")).distinct(), typed.select("kind", "key").distinct()
-    index = reference.filter(f"kind != 'a' AND length(key) > {EDITS}").withColumn("s", F.explode(_segments())).select("kind", F.col("key").alias("entity_key"), "s.*")
-    probes = typed.filter(f"kind != 'a' AND length(key) >= {EDITS}").withColumn("s", F.explode(_probes())).select("kind", "key", "s.*").distinct()
-    near = probes.join(index, ["kind", "len", "i", "seg"]).select("kind", "key", "entity_key").distinct()
-    letters = lambda c: F.array_sort(F.split(c, ""))
-    swapped = (F.length("key") == F.length("entity_key")) & (letters(F.col("key")) == letters(F.col("entity_key")))
-    near = near.withColumn("edits", F.levenshtein("key", "entity_key", EDITS)).filter((F.col("edits") >= 0) & ((F.col("edits") <= F.expr("length(entity_key) div 4")) | swapped))
+    index = reference.filter("kind != 'a' AND length(key) >= 4").withColumn("s", F.explode(_segments())).select("kind", F.col("key").alias("entity_key"), "s.*")
+    probes = typed.filter(f"kind != 'a' AND length(key) > {EDITS}").withColumn("s", F.explode(_probes())).select("kind", "key", "s.*").distinct()
+    near = probes.join(index, ["kind", "len", "i", "seg"]).select("kind", "key", "entity_key")
+    short = "kind != 'a' AND length(key) BETWEEN 3 AND 7"
+    mixed = typed.filter(short).withColumn("_l", _letters("key")).join(reference.filter(short).select("kind", F.col("key").alias("entity_key"), _letters("key").alias("_l")), ["kind", "_l"]).select("kind", "key", "entity_key")
+    near = near.unionByName(mixed).distinct()
+    swapped = (F.length("key") == F.length("entity_key")) & (_letters("key") == _letters("entity_key"))
+    near = near.withColumn("edits", F.levenshtein("key", "entity_key", EDITS)).filter((F.col("edits") >= 0) & ((F.col("edits") <= F.expr(_reach("length(entity_key)"))) | swapped))
     same = typed.join(reference, ["kind", "key"]).filter(f"kind = 'a' OR length(key) <= {EDITS}").select("kind", "key", F.col("key").alias("entity_key"), F.lit(0).alias("edits"))
     return near.unionByName(same)
 

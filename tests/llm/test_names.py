@@ -48,7 +48,8 @@ def reference(spark):
     [
         ("Dallakerrgh, T. W.", 1), ("Tom Dallakrergh", 1), ("DALLAKERRGH Thomas", 1), ("Dallakerrgh, Thmas", 1), ("T.W. Dallakergh", 1), ("Dallakerrgh, Margaret", None), ("Dallakerrgh, T. X.", None),
         ("Chuck Ekkoemarberg", 2), ("C. Ekkomarberg", 2), ("I. Nerremille", 3), ("Paco Nerremille", 4), ("Nerremille, Rafael", None), ("Thomas, Dallakerrgh", 1), ("Dallakerrgh, Thomas, Jr.", 1),
-        ("Oskabelley Ctr. for Acoustics Res.", 5), ("The oskabelley centre for acoustics reserach", 5), ("ISACS", 6), ("Intl. Soc. for Acoustics, Corvushijak Sect.", 6), ("A. Twinsworth", None), ("Anna Twinsworth", 7), ("Dallakerrgh", None), ("", None), (None, None), ("—", None),
+        ("Oskabelley Ctr. for Acoustics Res.", 5), ("The oskabelley centre for acoustics reserach", 5), ("ISACS", 6), ("Intl. Soc. for Acoustics, Corvushijak Sect.", 6), ("A. Twinsworth", None), ("Anna Twinsworth", 7), ("Dallakerrgh", None),
+        ("Prof. Dr. Thomas W. Dallakerrgh", 1), ("Dallakerrgh, Prof. Dr. Thomas", 1), ("Thomas W. von der Au Dallakerrgh", 1), ("Dr Dr Dr Dr Dr", None), ("", None), (None, None), ("—", None),
     ],
 )
 def test_links(spark, reference, typed, entity):
