@@ -146,23 +146,30 @@ def canonical_titles(records: DataFrame) -> DataFrame:
     return records.withColumn("canonical", canonical_text(F.col("title"))).withColumn("changed", F.col("canonical") != F.col("title"))
 
 
+#: Records of one string that meet in one task at most; a string of more is spread over salts.
+SALT_ROWS = 20_000
+
+
 def lookalike_pairs(records: DataFrame) -> DataFrame:
     """(left_id, right_id), left_id < right_id: records whose titles look the same and are not the same string.
 
-    Equal strings never meet: the join runs between the distinct strings of a form, and only forms
-    with two or more strings take part. Repeated rows of one id count once. A title that is null
-    pairs with nothing; titles that are empty or blank pair like others.
+    Equal strings never meet: the join runs between the distinct strings of a form, by their hashes,
+    and only forms with two or more strings take part. Both sides of a pair of frequent strings are
+    salted, so its records meet in blocks of SALT_ROWS by SALT_ROWS. Repeated rows of one id count
+    once. A title that is null pairs with nothing; titles that are empty or blank pair like others.
     """
-    keyed = cut(records.distinct().select("record_id", "title", F.md5(F.encode(canonical_text(F.col("title")), "UTF-8")).alias("form")))
-    mixed = keyed.groupBy("form").agg(F.count("*").alias("n"), F.min("title").alias("least"), F.max("title").alias("most")).filter("least != most").select("form", "n")
+    hashed = lambda c: F.unhex(F.md5(F.encode(c, "UTF-8")))
+    keyed = cut(records.select("record_id", hashed(F.col("title")).alias("string"), hashed(canonical_text(F.col("title"))).alias("form")).distinct())
+    mixed = keyed.groupBy("form").agg(F.count("*").alias("n"), F.min("string").alias("least"), F.max("string").alias("most")).filter("least != most").select("form", "n")
     held = cut(attach(keyed, mixed, ["form"], "n").drop("n"))
-    strings = held.groupBy("form", "title").agg(F.count("*").alias("n"))
-    left, right = strings.select("form", F.col("title").alias("left_title"), F.col("n").alias("left_n")), strings.select("form", F.col("title").alias("right_title"))
-    # The records of a frequent string are spread over salts; its pairs are repeated once per salt.
-    salts = F.ceil(F.col("left_n") / F.lit(20_000)).cast("int")
-    pairs = left.join(right, "form").filter("left_title != right_title AND left_title < right_title").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    sized = attach(held, strings, ["form", "title"], "n")
-    first = sized.select("form", F.col("title").alias("left_title"), F.col("record_id").alias("a"), F.pmod(F.xxhash64("record_id"), F.ceil(F.col("n") / F.lit(20_000))).cast("int").alias("salt"))
-    second = held.select("form", F.col("title").alias("right_title"), F.col("record_id").alias("b"))
-    met = pairs.drop("left_n").join(first, ["form", "left_title", "salt"]).join(second, ["form", "right_title"])
-    return met.filter("a != b").select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id")).distinct()
+    strings = held.groupBy("form", "string").agg(F.count("*").alias("n"))
+    salts = F.ceil(F.col("n") / F.lit(SALT_ROWS)).cast("int")
+    sized = cut(attach(held, strings, ["form", "string"], "n").select("form", "string", "record_id", F.pmod(F.xxhash64("record_id"), salts).cast("int").alias("salt")))
+    side = lambda x: strings.select("form", F.col("string").alias(f"{x}_string"), F.explode(F.sequence(F.lit(0), salts - 1)).alias(f"{x}_salt"))
+    pairs = side("a").join(side("b"), "form").filter("a_string < b_string")
+    for x in ("a", "b"):
+        rows = sized.select("form", F.col("string").alias(f"{x}_string"), F.col("salt").alias(f"{x}_salt"), F.col("record_id").alias(x))
+        pairs = pairs.join(rows, ["form", f"{x}_string", f"{x}_salt"])
+    out = pairs.filter("a != b").select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"))
+    # Only an id with several titles can give a pair twice.
+    return out.distinct() if sized.groupBy("record_id").count().filter("count > 1").head(1) else out

@@ -53,6 +53,15 @@ def test_pairs_equal_brute_force_and_edges(spark):
     assert lookalike.lookalike_pairs(lookalike.titled(df.limit(0), "id")).count() == 0
 
 
+def test_frequent_strings_on_both_sides(spark, monkeypatch):
+    monkeypatch.setattr(lookalike, "SALT_ROWS", 7)
+    rows = [(i, ("Editorial", "Еditorial", "Edito\u200brial")[i % 3]) for i in range(90)] + [(0, "Еditorial"), (500, "Solo")]
+    df = spark.createDataFrame(rows, "id long, title string")
+    found = [tuple(r) for r in lookalike.lookalike_pairs(lookalike.titled(df, "id")).collect()]
+    want = {(min(a, b), max(a, b)) for a, s in rows for b, t in rows if a != b and s != t and "Solo" not in (s, t)}
+    assert sorted(found) == sorted(want)
+
+
 def test_column_form(spark):
     df = spark.createDataFrame([(1, "plain"), (2, "Ｗ"), (3, None), (4, "")], "i long, t string")
     assert [r[0] for r in df.orderBy("i").select(lookalike.canonical_text(F.col("t"))).collect()] == ["plain", "W", None, ""]
