@@ -3,7 +3,9 @@
 Items are hashed into partitions small enough for one task and packed there best-fit decreasing.
 Dual feasible functions give a lower bound on the containers any packing of the partition needs; a
 partition that meets its bound is certified and done. The others exchange their items (one new
-hash over all of them) and are packed again, as long as that saves containers.
+hash over all of them) and are packed again, as long as that saves containers; a lone partition
+above its bound exchanges with a certified one. Each result tells the containers and the bound of
+its partition.
 """
 
 from __future__ import annotations
@@ -12,26 +14,28 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stackmill.session import cut
 
-#: Items of a partition on average, and rounds of exchange at most.
-PARTITION_ITEMS, ROUNDS = 20_000, 4
+#: Items of a partition on average. A partition of an exchange may hold GROWTH times as many.
+PARTITION_ITEMS, GROWTH = 20_000, 4
+#: Exchanges end when one saves less than this share of the containers that took part (or none).
+LEAST_SAVING = 0.0005
 MOST_SPECS = 1000
 
 
-def lower_bound(sizes: np.ndarray, capacity: int) -> int:
-    """Containers that items of these sizes need at least, by two families of dual feasible functions.
+def lower_bound(sizes: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> int:
+    """Containers that items of these sizes (each ``counts`` times) need at least, by two families of dual feasible functions.
 
     u_k rounds sizes to k-ths of the capacity; f_t drops items below t and counts those above
     capacity - t as full. Both keep any feasible filling feasible, so the sums bound the containers.
     """
-    sizes = sizes[sizes > 0]
-    if len(sizes) == 0:
+    values, counts = np.unique(sizes, return_counts=True) if counts is None else (sizes, counts)
+    values, counts = values[values > 0], counts[values > 0]
+    if len(values) == 0:
         return 0
-    values, counts = np.unique(sizes, return_counts=True)
     best = -(-int((values * counts).sum()) // capacity)
     for k in range(1, 21):
         scaled = values * (k + 1)
@@ -103,63 +107,109 @@ def pieces(items: DataFrame, specs: DataFrame) -> DataFrame:
     return each.select("spec", "capacity", "doc_id", "piece", F.least(F.col("capacity").cast("bigint"), F.col("total") - F.col("piece").cast("bigint") * F.col("capacity")).cast("int").alias("tokens"))
 
 
-def pack(items: DataFrame, specs: DataFrame, partition_items: int = PARTITION_ITEMS, rounds: int = ROUNDS) -> DataFrame:
-    """(spec, capacity, doc_id, piece, tokens, container): a container of its spec for every piece.
+def pack(items: DataFrame, specs: DataFrame, partition_items: int = PARTITION_ITEMS, rounds: int | None = None) -> DataFrame:
+    """(spec, capacity, doc_id, piece, tokens, container, part, part_containers, part_bound) of every piece.
 
     ``items`` has (doc_id, tokens). Containers are numbered per spec, unique but not without gaps.
-    An empty table gives no rows.
+    ``part_containers`` is what the piece's partition was packed into and ``part_bound`` what it
+    needs at least: the partition is certified where they are equal. Pieces that fill a container
+    are in no partition and null there. Exchanges go on while they save containers, or for
+    ``rounds`` rounds. An empty table gives no rows.
     """
     loose = cut(pieces(items, specs))
     # Full pieces need no packing: each is a container.
-    full = loose.filter("tokens = capacity").withColumn("container", -1 - F.monotonically_increasing_id())  # fixed, as the pieces are written
+    none = F.lit(None).cast("bigint")
+    full = loose.filter("tokens = capacity").withColumn("container", -1 - F.monotonically_increasing_id()).withColumns({"part": none, "part_containers": none, "part_bound": none})  # fixed, as the pieces are written
     open_ = loose.filter("tokens < capacity")
     parts = {r["spec"]: max(1, -(-r["n"] // partition_items)) for r in open_.groupBy("spec").agg(F.count("*").alias("n")).collect()}
     packed = _packed(open_, parts, 0)
     done: list[DataFrame] = []
-    for turn in range(1, rounds + 1):
-        gaps = _gaps(packed)
+    turn = 0
+    while rounds is None or turn < rounds:
+        turn += 1
+        gaps = _gaps(packed, GROWTH * partition_items)
         if not gaps:
             break
-        again = _packed(packed.filter(_gapped() & F.col("spec").isin(list(gaps))).drop("part", "slot", "used", "bound"), {s: g[0] for s, g in gaps.items()}, turn)
-        saved = [s for s, used in _used(again).items() if used < gaps[s][1]]
+        again = _packed(packed.filter(_taking_part(gaps)).drop("part", "slot", "used", "bound"), {s: g["parts"] for s, g in gaps.items()}, turn)
+        saved = {s: gaps[s]["used"] - used for s, used in _used(again).items() if used < gaps[s]["used"]}
         if not saved:
             break
-        done.append(packed.filter(~(_gapped() & F.col("spec").isin(saved))))
-        packed = again.filter(F.col("spec").isin(saved))
+        better = {s: g for s, g in gaps.items() if s in saved}
+        done.append(packed.filter(~_taking_part(better)))
+        packed = again.filter(F.col("spec").isin(list(saved)))
+        if all(n < LEAST_SAVING * gaps[s]["used"] for s, n in saved.items()):
+            break
     done.append(packed)
-    out = full.select("spec", "capacity", "doc_id", "piece", "tokens", "container")
+    columns = [c for c in full.columns if c not in ("part", "part_containers", "part_bound")]
+    out = full.select(*columns, "part", "part_containers", "part_bound")
     for part in done:
-        out = out.unionByName(part.select("spec", "capacity", "doc_id", "piece", "tokens", (F.col("part") * (1 << 24) + F.col("slot")).alias("container")))
+        part = part.withColumn("container", F.col("part") * (1 << 24) + F.col("slot"))
+        out = out.unionByName(part.select(*columns, "part", F.col("used").alias("part_containers"), F.col("bound").alias("part_bound")))
     return out
 
 
-def _gapped():  # noqa: ANN202
+def _gapped() -> Column:
     return F.col("used") > F.col("bound")
 
 
 def _packed(open_: DataFrame, parts: dict[str, int], turn: int) -> DataFrame:
     """Pieces with their partition and slot; part numbers of different turns never meet."""
     number = F.coalesce(*[F.when(F.col("spec") == s, F.lit(n)) for s, n in parts.items()], F.lit(1)) if parts else F.lit(1)
-    part = F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), number).cast("bigint") * 64 + turn
+    part = F.lit(turn * (1 << 32)) + F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), number).cast("bigint")
     return cut(open_.withColumn("part", part).groupBy("spec", "part").applyInPandas(_pack, PACKED))
 
 
 def _partitions(packed: DataFrame) -> DataFrame:
-    return packed.groupBy("spec", "part").agg(F.first("used").alias("used"), F.first("bound").alias("bound"))
+    return packed.groupBy("spec", "part").agg(F.first("used").alias("used"), F.first("bound").alias("bound"), F.count("*").alias("n"))
+
+
+def _gaps(packed: DataFrame, most_items: int) -> dict[str, dict]:
+    """Per spec that may exchange: the containers of those that take part, their new number of partitions, and the partner of a lone one.
+
+    Specs whose one partition above its bound has no partner, or would come to more than ``most_items``, stay as they are.
+    """
+    above = F.col("used") > F.col("bound")
+    partner = F.min(F.when(~above, F.struct("n", "part", "used")))
+    rows = _partitions(packed).groupBy("spec").agg(F.count_if(above).alias("above"), F.sum(F.when(above, F.col("used"))).alias("used"), F.sum(F.when(above, F.col("n"))).alias("n"), partner.alias("partner")).filter("above > 0").collect()
+    out: dict[str, dict] = {}
+    for r in rows:
+        alone = r["above"] == 1
+        if alone and r["partner"] is None:
+            continue
+        used, n = (r["used"] + r["partner"]["used"], r["n"] + r["partner"]["n"]) if alone else (r["used"], r["n"])
+        parts = 1 if alone else r["above"] - 1
+        if n <= most_items * parts:
+            out[r["spec"]] = {"used": used, "parts": parts, "partner": r["partner"]["part"] if alone else None}
+    return out
 
 
-def _gaps(packed: DataFrame) -> dict[str, tuple[int, int]]:
-    """Per spec: partitions above their bound and the containers these use; specs where an exchange may help."""
-    rows = _partitions(packed).filter(_gapped()).groupBy("spec").agg(F.count("*").alias("n"), F.sum("used").alias("used"), F.sum("bound").alias("bound")).collect()
-    return {r["spec"]: (max(1, r["n"] - 1), r["used"]) for r in rows if r["n"] > 1}
+def _taking_part(gaps: dict[str, dict]) -> Column:
+    """Pieces of partitions above their bound, and of the partner of a lone one."""
+    mine = F.col("spec").isin(list(gaps)) & _gapped()
+    for spec, gap in gaps.items():
+        if gap["partner"] is not None:
+            mine = mine | ((F.col("spec") == spec) & (F.col("part") == gap["partner"]))
+    return mine
 
 
 def _used(packed: DataFrame) -> dict[str, int]:
     return {r["spec"]: r["used"] for r in _partitions(packed).groupBy("spec").agg(F.sum("used").alias("used")).collect()}
 
 
+FILLED = "spec string, least_containers bigint"
+
+
+def _spec_bound(sizes: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"spec": [sizes["spec"].iloc[0]], "least_containers": [lower_bound(sizes["tokens"].to_numpy(np.int64), int(sizes["capacity"].iloc[0]), sizes["n"].to_numpy(np.int64))]})
+
+
 def filling(packed: DataFrame) -> DataFrame:
-    """Per spec: containers, tokens, the bound no packing can beat, and the share of room left unused."""
+    """Per spec: containers, tokens, the bound no packing can beat, and the share of room left unused.
+
+    The bound is that of the dual feasible functions over all pieces of the spec; they are counted
+    by size first, and a spec has no more sizes than its capacity.
+    """
+    sizes = packed.groupBy("spec", "capacity", "tokens").agg(F.count("*").alias("n"))
+    bounds = sizes.groupBy("spec").applyInPandas(_spec_bound, FILLED)
     per = packed.groupBy("spec", "capacity").agg(F.countDistinct("container").alias("containers"), F.sum("tokens").cast("bigint").alias("tokens"), F.count("*").alias("pieces"))
-    least = F.ceil(F.col("tokens") / F.col("capacity"))
-    return per.withColumn("least_containers", least).withColumn("unused_share", 1 - F.col("tokens") / (F.col("containers") * F.col("capacity")))
+    return per.join(bounds, "spec").withColumn("unused_share", 1 - F.col("tokens") / (F.col("containers") * F.col("capacity")))

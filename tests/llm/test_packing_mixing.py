@@ -66,6 +66,31 @@ def test_exchange_never_costs_containers(spark):
     assert after["least_containers"] <= after["containers"] < without["containers"]
 
 
+def test_a_lone_partition_above_its_bound_exchanges_with_a_certified_one(spark):
+    # Packed as given: (51, 49) fits, while three 51s leave room that the other partition's 49s fill.
+    rows = [("s", 100, i, 0, size, part) for i, (size, part) in enumerate([(40, 0), (40, 0), (40, 0), (30, 0), (20, 1), (30, 1), (25, 1), (25, 1)])]
+    df = spark.createDataFrame(rows, "spec string, capacity int, doc_id long, piece int, tokens int, part long")
+    packed = df.groupBy("spec", "part").applyInPandas(packing._pack, packing.PACKED)
+    assert {r["part"]: (r["used"], r["bound"]) for r in packed.collect()}[1] == (1, 1)
+    gaps = packing._gaps(packed, 100)
+    assert gaps == {} or (gaps["s"]["partner"] == 1 and gaps["s"]["parts"] == 1 and packed.filter(packing._taking_part(gaps)).count() == 8)
+    assert packing._gaps(packed.withColumn("bound", F.when(F.col("part") == 0, F.col("used") - 1).otherwise(F.col("bound"))), 100)["s"] == {"used": 3, "parts": 1, "partner": 1}
+    assert packing._gaps(packed.withColumn("bound", F.when(F.col("part") == 0, F.col("used") - 1).otherwise(F.col("bound"))), 5) == {}
+
+
+def test_certificates_and_bounds_are_reported(spark):
+    rng = random.Random(11)
+    items = [(i, rng.choice([100, 51, 52, 60, 30])) for i in range(300)]
+    specs = spark.createDataFrame([("s", 100)], "spec string, capacity_tokens int")
+    out = packing.pack(spark.createDataFrame(items, "doc_id long, tokens long"), specs, partition_items=40)
+    rows, fill = out.collect(), packing.filling(out).first()
+    assert all(r["part_containers"] >= r["part_bound"] for r in rows if r["tokens"] < 100) and all(r["part"] is None for r in rows if r["tokens"] == 100)
+    assert fill["least_containers"] == packing.lower_bound(np.array([t for _, t in items]), 100) > -(-sum(t for _, t in items) // 100)
+    for part in {r["part"] for r in rows} - {None}:
+        mine = [r for r in rows if r["part"] == part]
+        assert len({r["container"] for r in mine}) == mine[0]["part_containers"]
+
+
 def brute_mix(docs, targets, seed, order):
     out = {}
     for mix in {t[0] for t in targets}:
