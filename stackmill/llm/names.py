@@ -53,13 +53,17 @@ ACCENTS = _accents()
 
 
 def unaccented(value: Column) -> Column:
-    """Lower case without accents."""
-    return F.regexp_replace(F.regexp_replace(F.translate(F.lower(value), *ACCENTS), r"\p{M}", ""), "ß", "ss")
+    """Lower case without accents; text of one byte per character has none."""
+    low = F.lower(value)
+    flat = F.replace(F.regexp_replace(F.translate(low, *ACCENTS), r"\p{M}", ""), F.lit("ß"), F.lit("ss"))
+    return F.when(F.octet_length(value) == F.length(value), low).otherwise(flat)
 
 
 def merged(flat: Column) -> Column:
     """The two-letter spellings of umlauts as the plain letter."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(flat, "œ|oe", "o"), "æ|ae", "a"), "ue", "u")
+    for pair, letter in (("oe", "o"), ("œ", "o"), ("ae", "a"), ("æ", "a"), ("ue", "u")):
+        flat = F.replace(flat, F.lit(pair), F.lit(letter))
+    return flat
 
 
 def fold(value: Column) -> Column:
@@ -79,33 +83,29 @@ def _acronym(key: Column) -> Column:
     return F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
 
 
-def typed_parts(name: Column) -> Column:
-    """Readings of a typed name: an array of (kind, key, given).
+def typed_readings(typed: DataFrame) -> DataFrame:
+    """(name, kind, key, given): the readings of each typed name.
 
     Kinds: ``p`` a person (key is the family name), ``o`` an organisation (key is its name in full
     words), ``a`` a single word that may be an acronym. Names in which the order of the parts is
     open have two readings; names of five or more words are read as an organisation and as a person.
     Titles of persons are no part of the name.
     """
-    flat = F.trim(F.regexp_replace(unaccented(name), r"[\"{}“”\[\]]", " "))
-    flat = F.regexp_replace(flat, r",?\s*\b(jr|sr)\b\.?\s*$", "")
     titles = rf"(?<![^\s,])(?:{'|'.join(HONORIFICS)})\.?(?=[\s,]|$)"
-    flat = F.when(flat.rlike(titles), F.regexp_replace(F.regexp_replace(flat, titles, " "), r"^[\s,]+|[\s,]+$", "")).otherwise(flat)
-    words = F.filter(F.split(F.regexp_replace(flat, r"[\s,]+", " "), " "), lambda w: w != "")
-    n = F.size(words)
-    reading = lambda kind, key, given: F.struct(F.lit(kind).alias("kind"), merged(key).alias("key"), given.alias("given"))
-    is_org = flat.rlike(r"\b(for|of|on|and)\b|&")
-    organisation = reading("o", _organisation_key(flat), F.lit(""))
-    before, after = F.trim(F.split_part(flat, F.lit(","), F.lit(1))), F.trim(F.regexp_replace(flat, r"^[^,]*,\s*", ""))
-    last, first = F.element_at(words, -1), F.element_at(words, 1)
-    without_last, without_first = F.array_join(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), " "), F.array_join(F.slice(words, 2, F.greatest(n - 1, F.lit(1))), " ")
-    empty = F.array().cast("array<struct<kind:string,key:string,given:string>>")
-    return (
-        F.when(name.isNull() | (n == 0), empty)
-        .when(is_org, F.array(organisation))
-        .when(n == 1, F.array(reading("a", F.regexp_replace(first, r"\.", ""), F.lit(""))))
-        .otherwise(F.concat(F.when(n >= 5, F.array(organisation)).otherwise(empty), F.when(flat.contains(","), F.array(reading("p", before, after), reading("p", after, before))).otherwise(F.array(reading("p", last, without_last), reading("p", first, without_first)))))
-    )
+    # One column after the other, so that each is computed once.
+    rows = typed.select("name", F.trim(F.regexp_replace(unaccented(F.col("name")), r"[\"{}“”\[\]]", " ")).alias("f"))
+    rows = rows.withColumn("f", F.when(F.col("f").rlike(r"[js]r\.?\s*$"), F.regexp_replace("f", r",?\s*\b(jr|sr)\b\.?\s*$", "")).otherwise(F.col("f")))
+    rows = rows.withColumn("f", F.when(F.col("f").rlike(titles), F.regexp_replace(F.regexp_replace("f", titles, " "), r"^[\s,]+|[\s,]+$", "")).otherwise(F.col("f")))
+    rows = rows.withColumn("w", F.filter(F.split(F.regexp_replace("f", r"[\s,]+", " "), " "), lambda w: w != "")).filter("size(w) > 0")
+    n = F.size("w")
+    reading = lambda kind, key, given: F.array(F.struct(F.lit(kind).alias("kind"), key.alias("key"), given.alias("given")))
+    organisation = reading("o", F.col("f"), F.lit(""))
+    before, after = F.trim(F.split_part("f", F.lit(","), F.lit(1))), F.trim(F.regexp_replace("f", r"^[^,]*,\s*", ""))
+    joined = lambda start: F.array_join(F.slice("w", start, F.greatest(n - 1, F.lit(1))), " ")
+    person = F.when(F.contains("f", F.lit(",")), F.concat(reading("p", before, after), reading("p", after, before))).otherwise(F.concat(reading("p", F.element_at("w", -1), joined(1)), reading("p", F.element_at("w", 1), joined(2))))
+    read = F.when(F.col("f").rlike(r"\b(for|of|on|and)\b|&"), organisation).when(n == 1, reading("a", F.replace(F.element_at("w", 1), F.lit(".")), F.lit(""))).when(n >= 5, F.concat(organisation, person)).otherwise(person)
+    each = rows.select("name", F.inline(read))
+    return each.withColumn("key", merged(F.when(F.col("kind") == "o", _organisation_key(F.col("key"))).otherwise(F.col("key"))))
 
 
 def reference_entities(df: DataFrame) -> DataFrame:
@@ -159,13 +159,12 @@ def segment_links(typed: DataFrame, reference: DataFrame) -> DataFrame:
     """
     reference, typed = reference.select("kind", F.col("key")).distinct(), typed.select("kind", "key").distinct()
     index = reference.filter("kind != 'a' AND length(key) >= 4").withColumn("s", F.explode(_segments())).select("kind", F.col("key").alias("entity_key"), "s.*")
-    probes = typed.filter(f"kind != 'a' AND length(key) > {EDITS}").withColumn("s", F.explode(_probes())).select("kind", "key", "s.*").distinct()
-    near = probes.join(index, ["kind", "len", "i", "seg"]).select("kind", "key", "entity_key")
+    probes = typed.filter(f"kind != 'a' AND length(key) > {EDITS}").withColumn("s", F.explode(_probes())).select("kind", "key", "s.*")
+    edits = F.levenshtein("key", "entity_key", EDITS)
+    near = probes.join(index, ["kind", "len", "i", "seg"]).select("kind", "key", "entity_key").withColumn("edits", edits).filter((F.col("edits") >= 0) & (F.col("edits") <= F.expr(_reach("length(entity_key)"))))
     short = "kind != 'a' AND length(key) BETWEEN 3 AND 7"
-    mixed = typed.filter(short).withColumn("_l", _letters("key")).join(reference.filter(short).select("kind", F.col("key").alias("entity_key"), _letters("key").alias("_l")), ["kind", "_l"]).select("kind", "key", "entity_key")
+    mixed = typed.filter(short).withColumn("_l", _letters("key")).join(reference.filter(short).select("kind", F.col("key").alias("entity_key"), _letters("key").alias("_l")), ["kind", "_l"]).select("kind", "key", "entity_key").withColumn("edits", edits).filter("edits >= 0")
     near = near.unionByName(mixed).distinct()
-    swapped = (F.length("key") == F.length("entity_key")) & (_letters("key") == _letters("entity_key"))
-    near = near.withColumn("edits", F.levenshtein("key", "entity_key", EDITS)).filter((F.col("edits") >= 0) & ((F.col("edits") <= F.expr(_reach("length(entity_key)"))) | swapped))
     same = typed.join(reference, ["kind", "key"]).filter(f"kind = 'a' OR length(key) <= {EDITS}").select("kind", "key", F.col("key").alias("entity_key"), F.lit(0).alias("edits"))
     return near.unionByName(same)
 
@@ -192,7 +191,7 @@ def resolve_names(typed: DataFrame, entities: DataFrame) -> DataFrame:
     A given name must be equal, a short form, an initial or a slip of the entity's; a typed middle
     initial must be the entity's. When two entities fit equally well the name stays unlinked.
     """
-    readings = typed.select("name").withColumn("r", F.explode(typed_parts(F.col("name")))).select("name", "r.*")
+    readings = typed_readings(typed.select("name"))
     readings = readings.withColumn("words", F.filter(F.split(F.col("given"), r"[\s.\-]+"), lambda w: w != ""))
     readings = readings.withColumn("first", F.coalesce(F.try_element_at("words", F.lit(1)), F.lit(""))).withColumn("second", F.substring(F.coalesce(F.try_element_at("words", F.lit(2)), F.lit("")), 1, 1)).drop("words", "given")
     readings = cut(readings)
