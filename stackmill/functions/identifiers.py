@@ -94,13 +94,34 @@ def pmcid(value: Column) -> Column:
     return F.upper(_found(value, r"(?i)\b(PMC[0-9]{4,})\b"))
 
 
+def pmid(url: Column) -> Column:
+    """The first path segment of digits alone."""
+    return F.try_element_at(F.filter(F.split(path(url), "/"), lambda p: p.rlike(r"^[0-9]+$")), F.lit(1))
+
+
+def meta_doi(value: Column) -> Column:
+    """A DOI as a page states it: only a label is dropped."""
+    return stripped(F.regexp_replace(stripped(value), r"^(?i)doi:", ""))
+
+
+def has_doi_prefix(value: Column, *prefixes: str) -> Column:
+    """A DOI of one of the prefixes, whatever its letter case."""
+    low = F.lower(stripped(value))
+    found = low.startswith(prefixes[0].lower())
+    for prefix in prefixes[1:]:
+        found = found | low.startswith(prefix.lower())
+    return found
+
+
 def ieee_number(url: Column) -> Column:
     """Document number of a document page, else the arnumber of the query."""
     return F.coalesce(_found(url, r"/document/([0-9]+)"), _found(url, r"(?i)[?&]arnumber=([0-9]+)"))
 
 
 def springer_doi(url: Column) -> Column:
-    return _found(path(url), r"^/(?:article|chapter|content/pdf)/(10\.[0-9]{4,}/[^/?#]+?)(?:\.pdf)?$")
+    """DOI in the path of an article, chapter or file page."""
+    found = F.regexp_replace(_found(path(url), r"^/(?:article|chapter|content/pdf)/(.+)$"), r"(?:\.pdf)+$", "")
+    return F.when(has_doi_prefix(found, "10.1007/"), found)
 
 
 def video_id(url: Column) -> Column:

@@ -10,6 +10,10 @@ from stackmill.functions.urls import host
 # Hosts that only redirect, and the address pattern of a journal's file store.
 REDIRECT_HOSTS = ["doi.org", "dx.doi.org"]
 FILE_STORE = "https://mdpi-res.com/d_attachment/%1$s/%2$s/article_deploy/%2$s.pdf"
+JOURNAL_SLUGS = {"applied sciences": "applsci"}
+DATE = "struct<`date-parts`:array<array<int>>>"
+WORK_DDL = f"struct<message:struct<DOI:string,title:array<string>,author:array<struct<given:string,family:string>>,published:{DATE},`published-print`:{DATE},`published-online`:{DATE},`container-title`:array<string>,volume:string,issue:string>>"
+PAPER_DDL = "struct<title:string,year:int,authors:array<struct<name:string>>,openAccessPdf:struct<url:string>,externalIds:struct<ArXiv:string,DOI:string>>"
 LINK_DDL = "array<struct<URL:string,`content-type`:string,`intended-application`:string>>"
 
 
@@ -42,12 +46,40 @@ def journal_slug(doi: Column) -> Column:
 
 def article_number(doi: Column, slug: Column, volume: Column, issue: Column) -> Column:
     """Digits after slug, volume and issue, the issue as it is or padded to two digits."""
-    tail = F.when(F.startswith(F.lower(F.trim(doi)), F.concat(F.lit("10.3390/"), slug, volume)), F.substring(F.lower(F.trim(doi)), F.length(F.concat(F.lit("10.3390/"), slug, volume)) + 1, F.lit(1000)))
-    after = lambda part: F.when(F.startswith(tail, part), F.substring(tail, F.length(part) + 1, F.lit(1000)))
+    tail = F.when(F.startswith(F.lower(F.trim(doi)), F.concat(F.lit("10.3390/"), slug, volume)), F.substring(F.lower(F.trim(doi)), F.length(F.concat(F.lit("10.3390/"), slug, volume)) + 1, F.length(doi)))
+    after = lambda part: F.when(F.startswith(tail, part), F.substring(tail, F.length(part) + 1, F.length(tail)))
     rest = F.coalesce(after(issue), after(F.lpad(issue, 2, "0")))
     return F.when(rest.rlike(r"^[0-9]+$"), rest)
 
 
+def slug_candidates(title: Column, doi_slug: Column) -> Column:
+    """Names under which the file store may hold a journal, in the order to try them, each once.
+
+    A title of one word is the name; of more, its letters alone, the DOI's slug and a known exception.
+    """
+    low = F.lower(title)
+    known = F.coalesce(*[F.when(low == k, F.lit(v)) for k, v in JOURNAL_SLUGS.items()])
+    several = F.array_distinct(F.filter(F.array(F.regexp_replace(low, r"[^a-z]", ""), doi_slug, known), lambda s: s.isNotNull()))
+    return F.when(title.isNull(), F.array(doi_slug)).when(~F.contains(low, F.lit(" ")), F.array(low)).otherwise(several)
+
+
+def work_names(authors: Column) -> Column:
+    """``Family, Given`` of a work's authors, whichever part there is, joined by semicolons; null without any."""
+    names = F.filter(F.transform(authors, lambda a: F.concat_ws(", ", a["family"], a["given"])), lambda n: n != "")
+    return F.nullif(F.array_join(names, "; "), F.lit(""))
+
+
+def work_year(message: Column) -> Column:
+    """Year of a work: as published, else in print, else online."""
+    first = lambda name: F.try_element_at(F.try_element_at(message[name]["date-parts"], F.lit(1)), F.lit(1))
+    return F.coalesce(first("published"), first("published-print"), first("published-online")).cast("string")
+
+
+def work_of_issue(works: Column, volume: Column, issue: Column) -> Column:
+    """The first of a search's works of this volume and issue; null without one."""
+    return F.try_element_at(F.filter(works, lambda w: (w["volume"] == volume) & (w["issue"] == issue)), F.lit(1))
+
+
 def store_url(slug: Column, volume: Column, number: Column) -> Column:
     """Address of an article in the file store; its number padded to five digits."""
     return F.format_string(FILE_STORE, slug, F.concat_ws("-", slug, volume, F.when(F.length(number) < 5, F.lpad(number, 5, "0")).otherwise(number)))

@@ -16,7 +16,8 @@ PORT = r"^\s*[Hh][Tt][Tt][Pp][Ss]?://(?:[^/?#@\s]*@)?[^/?#:\s]+:([0-9]+)"
 PATH = r"^\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#\s]*([^?#\s]*)"
 TAIL = r"^\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#\s]*[^?#]*(\?[^#]*)?(#.*)?$"
 MAX_URL_BYTES = 2000
-BINARY_EXTENSIONS = ["pdf", "zip", "gz", "tar", "tgz", "7z", "rar", "epub", "doc", "docx", "ppt", "pptx", "xls", "xlsx", "mp3", "mp4", "mov", "avi"]
+BINARY_EXTENSIONS = [".pdf", ".doc", ".docx", ".epub", ".zip", ".tar.gz", ".gz", ".xls", ".xlsx", ".ppt", ".pptx", ".odt", ".ods", ".odp", ".rtf", ".ps", ".djvu", ".mobi"]
+LOGIN_PATTERNS = ["/login", "/signin", "/sign-in", "/auth/", "/sso", "/cas/login", "/saml", "/oauth", "/openid", "/idp/"]
 CONTENT_TYPE_EXTENSIONS = {"text/html": ".html", "text/plain": ".txt", "application/json": ".json", "application/xml": ".xml", "text/xml": ".xml", "application/pdf": ".pdf", "image/jpeg": ".jpg", "image/png": ".png", "image/gif": ".gif", "image/svg+xml": ".svg", "application/zip": ".zip", "application/gzip": ".gz", "text/css": ".css", "text/javascript": ".js", "application/javascript": ".js", "video/mp4": ".mp4", "audio/mpeg": ".mp3"}
 
 
@@ -73,18 +74,67 @@ def extension(url: Column) -> Column:
 
 def expects_binary(url: Column) -> Column:
     """The path ends in an extension of a binary file."""
-    return F.coalesce(F.ltrim(extension(url), F.lit(".")).isin(BINARY_EXTENSIONS), F.lit(False))
+    at = F.lower(path(url))
+    ends = [at.endswith(e) for e in BINARY_EXTENSIONS]
+    found = ends[0]
+    for e in ends[1:]:
+        found = found | e
+    return F.coalesce(found, F.lit(False))
+
+
+def login_domain(url: Column, content_type: Column, final_url: Column) -> Column:
+    """Domain of the login page that a page came from where a binary file was expected; null when it did not.
+
+    Only a login pattern in the final address counts: a page without one may be an error page.
+    """
+    page = F.contains(F.lower(F.coalesce(content_type, F.lit(""))), F.lit("text/html"))
+    pattern = F.exists(F.array(*map(F.lit, LOGIN_PATTERNS)), lambda p: F.contains(F.lower(final_url), p))
+    return F.when(expects_binary(url) & page & F.coalesce(pattern, F.lit(False)), F.coalesce(host(final_url), host(url), F.lit("unknown")))
 
 
 def referer(url: Column) -> Column:
-    """The landing page a direct PDF link belongs to, without its query."""
-    return F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), r"/doi/(?:pdf|epdf|pdfdirect)/", "/doi/")
+    """The landing page a direct PDF link (``/doi/pdf/...``) belongs to, without its query; null for other links."""
+    landing = F.concat(origin(url), F.regexp_replace(path(url), r"^/doi/pdf/", "/doi/"), F.coalesce(F.regexp_extract(url, TAIL, 2), F.lit("")))
+    return F.when(path(url).startswith("/doi/pdf/"), landing)
 
 
 def absolute(value: Column, base: Column) -> Column:
-    """A link made absolute: as it is, scheme-relative to https, or joined to the base page."""
-    folder = F.regexp_replace(path(base), r"[^/]*$", "")
-    return F.when(value.rlike(r"^https?://"), value).when(value.startswith("//"), F.concat(F.lit("https:"), value)).when(value.startswith("/"), F.concat(origin(base), value)).otherwise(F.concat(origin(base), folder, value))
+    """A link made absolute: as it is, scheme-relative to https, or joined to the base page.
+
+    Joining follows the address standard: queries and fragments alone keep the page, ``.`` and ``..``
+    are resolved, and a path above the root stays at it.
+    """
+    own, rest = F.regexp_extract(value, r"^([^?#]*)", 1), F.regexp_extract(value, r"^[^?#]*(.*)$", 1)
+    joined = F.when(own.startswith("/"), own).otherwise(F.concat(F.regexp_replace(path(base), r"[^/]*$", ""), own))
+    parts = F.split(F.substring(joined, F.lit(2), F.length(joined)), "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, p: F.when(p == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(p == ".", acc).otherwise(F.array_append(acc, p)))
+    folder = F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0)
+    place = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(folder, "/").otherwise(""))
+    query = F.coalesce(F.regexp_extract(base, TAIL, 1), F.lit(""))
+    page = F.concat(path(base), F.when(rest.startswith("?"), "").otherwise(query), rest)
+    return F.when(value.rlike(r"^https?://"), value).when(value.startswith("//"), F.concat(F.lit("https:"), value)).when(origin(base).isNotNull(), F.concat(origin(base), F.when(own == "", page).otherwise(F.concat(place, rest))))
+
+
+def host_or_text(value: Column) -> Column:
+    """The canonical host of an address, or of text that is a host itself."""
+    return canonical_host(F.coalesce(host(value), value))
+
+
+def hosts_match(a: Column, b: Column) -> Column:
+    """Both mean one host, whatever their ``www.``, letter case and trailing dots."""
+    return host_or_text(a) == host_or_text(b)
+
+
+def fallback_filename(url: Column, epoch: Column) -> Column:
+    """The last segment of the path with characters replaced that no file system takes, else a name with the time."""
+    last = F.nullif(F.regexp_extract(path(url), r"([^/]*)$", 1), F.lit(""))
+    return F.coalesce(safe_filename(last), F.concat(F.lit("download_"), epoch.cast("string"), F.lit(".bin")))
+
+
+def safe_filename(name: Column) -> Column:
+    """A name without separators, wildcards and control characters; never empty, ``.`` or ``..``."""
+    plain = F.regexp_replace(name, r"[/\\:*?\"<>|\p{Cc}]", "_")
+    return F.when(plain == "", "_").when(plain.isin(".", ".."), F.replace(plain, F.lit("."), F.lit("_"))).otherwise(plain)
 
 
 def host_within(url: Column, wanted: Column | str) -> Column:
@@ -105,7 +155,8 @@ def content_type_extension(content_type: Column) -> Column:
 
 
 def disposition_filename(header: Column) -> Column:
-    """File name of a Content-Disposition header, the encoded form first."""
-    encoded = _found(header, r"filename\*=[^']*''([^;]*)")
-    decoded = F.try_url_decode(F.regexp_replace(F.trim(encoded), r"\+", "%2B"))
-    return F.coalesce(decoded, _found(header, r'filename="([^"]*)"'), F.nullif(F.trim(_found(header, r'filename=([^";]+)')), F.lit("")))
+    """File name of a Content-Disposition header, the encoded form first; a quotation mark that is not closed gives none."""
+    encoded = F.regexp_extract(header, r"filename\*=[^']*''([^;]*)", 1)
+    decoded = F.when(header.rlike(r"filename\*=[^']*''"), F.try_url_decode(F.regexp_replace(F.trim(encoded), r"\+", "%2B")))
+    quoted = F.when(header.rlike(r'filename=\s*"[^"]*"'), F.regexp_extract(header, r'filename=\s*"([^"]*)"', 1))
+    return F.coalesce(decoded, quoted, F.nullif(F.trim(_found(header, r'filename=\s*([^";][^;]*)')), F.lit("")))

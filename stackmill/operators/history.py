@@ -12,11 +12,28 @@ DEFAULT_LIMIT, MOST_ROWS, FUZZY = 200, 10_000, 0.86
 
 
 def current_attempts(log: DataFrame) -> DataFrame:
-    """One row per attempt: of rows delivered again, the one logged last."""
-    latest = Window.partitionBy("id").orderBy(F.desc("logged_at"))
+    """One row per attempt: of rows delivered again, the one logged last; of equal times, one and the same of them.
+
+    An attempt does not change once it is logged: a row delivered again repeats it with a later
+    ``logged_at``. So filters on an attempt's own columns belong before this, where they reach the scan.
+    """
+    latest = Window.partitionBy("id").orderBy(F.desc("logged_at"), F.xxhash64(*log.columns))
     return log.withColumn("_n", F.row_number().over(latest)).filter("_n = 1").drop("_n")
 
 
+def newest(log: DataFrame, order: list[str], limit: int) -> DataFrame:
+    """The first attempts in descending order of columns that end in ``id``, one row each, in that order.
+
+    The page is found by a top-k over those columns alone; only its rows, of at most ``limit``
+    attempts, are folded. Nothing else is shuffled whole.
+    """
+    page = log.select(*order).distinct().orderBy(*map(F.desc, order)).limit(limit)
+    met = page.select(*[F.col(c).alias(f"_{c}") for c in order])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in order]
+    held = log.join(F.broadcast(met), same, "left_semi")  # at most ``limit`` rows
+    return current_attempts(held).orderBy(*map(F.desc, order)) if "logged_at" in log.columns else held.orderBy(*map(F.desc, order))
+
+
 def limit_or_default(limit: int) -> int:
     """0 means the default; never above the greatest page."""
     return DEFAULT_LIMIT if limit <= 0 else min(limit, MOST_ROWS)
@@ -36,8 +53,8 @@ def attempts(
 ) -> DataFrame:
     """Attempts that pass every given filter, newest id first, cut after filtering.
 
-    Times are compared as the text they are stored as, ends included. Only given filters enter the
-    plan, so they reach the scan.
+    ``log`` may hold attempts delivered again. Times are compared as the text they are stored as,
+    ends included. Only given filters enter the plan, so they reach the scan.
     """
     if since and until and since > until:
         raise ValueError("since is after until")
@@ -59,14 +76,36 @@ def attempts(
         conditions.append(host_within(F.col("url"), wanted))
     for condition in conditions:
         log = log.filter(condition)
-    return log.orderBy(F.desc("id")).limit(limit_or_default(limit))
+    return newest(log, ["id"], limit_or_default(limit))
 
 
 def merged_sources(log: DataFrame, source: str, limit: int) -> DataFrame:
-    """The newest attempts over several sources: the newest of each, then of all."""
+    """The newest attempts over several sources, with ``truncated``: whether there are more.
+
+    One more row than asked for is taken, as a merge of each source's newest would; which rows these
+    are does not depend on the sources, so one top-k over all of them gives them.
+    """
+    order = [F.desc("started_at"), F.desc("id"), F.asc(source)]
+    page = log.orderBy(*order).limit(limit + 1)
+    place = F.row_number().over(Window.orderBy(*order))  # of limit + 1 rows at most
+    total = F.count("*").over(Window.partitionBy())
+    return page.withColumn("_n", place).withColumn("truncated", total > limit).filter(F.col("_n") <= limit).drop("_n")
+
+
+def search_sources(log: DataFrame, source: str, cap: int = MOST_ROWS) -> DataFrame:
+    """The most recent searchable attempts of every source, ``cap`` of each: the set a search over several histories ranks.
+
+    Rows that cannot be among them are cut within tasks before the shuffle.
+    """
     order = [F.desc("started_at"), F.desc("id")]
-    each = Window.partitionBy(source).orderBy(*order)
-    return log.withColumn("_n", F.row_number().over(each)).filter(F.col("_n") <= limit + 1).drop("_n").orderBy(*order, source).limit(limit)
+    held = log.filter(F.coalesce("title", "authors", "doi").isNotNull())
+    return held.withColumn("_n", F.row_number().over(Window.partitionBy(source).orderBy(*order))).filter(F.col("_n") <= cap).drop("_n")
+
+
+def absolute_path(file_path: Column, history_path: Column) -> Column:
+    """A relative file path made absolute by the folder that holds the history's hidden folder."""
+    root = F.nullif(F.regexp_extract(history_path, r"^(.*)/[^/]+/[^/]+$", 1), F.lit(""))
+    return F.when(file_path.startswith("/"), file_path).otherwise(F.coalesce(F.concat(root, F.lit("/"), file_path), file_path))
 
 
 def search_candidates(log: DataFrame, since: str | None = None, until: str | None = None, openable: bool = False, cap: int = MOST_ROWS) -> DataFrame:
@@ -78,7 +117,8 @@ def search_candidates(log: DataFrame, since: str | None = None, until: str | Non
         log = log.filter(F.col("started_at") <= until)
     if openable:
         log = log.filter("status = 'success' AND file_path IS NOT NULL")
-    return log.select("id", "url", "status", "file_path", "title", "authors", "doi", "started_at").orderBy(F.desc("started_at"), F.desc("id")).limit(cap)
+    columns = ["id", "url", "status", "file_path", "title", "authors", "doi", "started_at"]
+    return newest(log.select(*columns, *[c for c in ("logged_at",) if c in log.columns]), ["started_at", "id"], cap).select(*columns)
 
 
 def search_text(value: Column) -> Column:
@@ -107,5 +147,5 @@ def ranked(candidates: DataFrame, query: str, limit: int) -> DataFrame:
     options = F.array(*[F.struct(match_of(F.lit(text), F.col(f)).alias("m"), F.lit(-i).alias("rank"), F.lit(f).alias("field")) for i, f in enumerate(fields)])
     best = F.array_max(F.filter(options, lambda o: o["m"].isNotNull()))
     out = candidates.withColumn("_b", best).filter("_b IS NOT NULL")
-    out = out.select("id", "title", "authors", "doi", "started_at", F.col("_b.m.kind").alias("match_kind"), F.col("_b.m.similarity").alias("similarity"), F.col("_b.field").alias("matched_field"))
+    out = out.select("id", "title", "authors", "doi", "started_at", "file_path", F.col("_b.m.kind").alias("match_kind"), F.col("_b.m.similarity").alias("similarity"), F.col("_b.field").alias("matched_field"))
     return out.orderBy(F.desc("match_kind"), F.desc("similarity"), F.desc("started_at"), F.desc("id")).limit(limit)

@@ -35,11 +35,29 @@ def cumulative_wait(scheduled: DataFrame, domain: str = "domain", arrived_ms: st
     return out.withColumn("warned", F.col("waited_ms") >= WARN_MS)
 
 
+def server_delays(scheduled: DataFrame, told: DataFrame, domain: str = "domain") -> DataFrame:
+    """Per domain: time waited, time servers told to wait (``delay_ms`` of ``told``), both together and whether they warrant a warning.
+
+    What a server tells only adds to the account; it moves no request.
+    """
+    own = scheduled.groupBy(domain).agg(F.sum("waited_ms").alias("waited_ms"))
+    theirs = told.groupBy(domain).agg(F.sum("delay_ms").cast("bigint").alias("told_ms"))
+    both = own.join(theirs, domain, "full_outer").fillna(0, ["waited_ms", "told_ms"]).withColumn("total_ms", F.col("waited_ms") + F.col("told_ms"))
+    return both.withColumn("warned", F.col("total_ms") >= WARN_MS)
+
+
 def retry_schedule(failures: DataFrame, most_attempts: int = DEFAULT_ATTEMPTS) -> DataFrame:
-    """One row per attempt that is made: attempt number and the delay before it; permanent failures make one.
+    """One row per attempt that is made: attempt number, the delay before it and whether it poses as a browser.
 
-    ``failures`` has (id, failure). At least one attempt is made, whatever ``most_attempts``.
+    ``failures`` has (id, failure) and may have http_status and retry_after_s. At least one attempt
+    is made, whatever ``most_attempts``; permanent failures make no other. Where a server that limits
+    the rate says how long to wait, that replaces the delay. A refusal (403) is tried once more at
+    once as a browser.
     """
-    tries = F.when(F.col("failure").isin("transient", "rate_limited"), F.lit(max(most_attempts, 1))).otherwise(1)
+    told = F.when(F.col("failure") == "rate_limited", F.col("retry_after_s") * 1000) if "retry_after_s" in failures.columns else F.lit(None).cast("bigint")
+    refused = F.coalesce(F.col("http_status") == 403, F.lit(False)) if "http_status" in failures.columns else F.lit(False)
+    tries = F.when(F.col("failure").isin("transient", "rate_limited"), F.lit(max(most_attempts, 1))).otherwise(F.when(refused, 2).otherwise(1))
     each = failures.withColumn("attempt", F.explode(F.sequence(F.lit(1), tries)))
-    return each.withColumn("delay_ms", F.when(F.col("attempt") == 1, F.lit(0).cast("bigint")).otherwise(retry_delay_ms(F.col("attempt") - 1)))
+    browser = refused & ~F.col("failure").isin("transient", "rate_limited") & (F.col("attempt") > 1)
+    delay = F.when((F.col("attempt") == 1) | browser, F.lit(0).cast("bigint")).otherwise(F.coalesce(told.cast("bigint"), retry_delay_ms(F.col("attempt") - 1)))
+    return each.withColumn("delay_ms", delay).withColumn("as_browser", browser)

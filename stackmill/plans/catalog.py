@@ -9,18 +9,18 @@ from pyspark.sql import functions as F
 
 from stackmill.functions import failures, identifiers, metadata, naming, urls
 from stackmill.operators import exports, history, parsing, queue, rates, routing, topics, web
-from stackmill.operators.raw_records import load_raw_records, loaded_entries
+from stackmill.plans import catalog_runs, catalog_texts, views
 from stackmill.plans.catalog_sql import ORACLE_SQL
-from stackmill.plans.ordered import numbered
+from stackmill.plans.ordered import unique_names
 from stackmill.sources.tables import table
 from stackmill.streaming import jobs
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
+QUERIES: dict[str, Query] = {**catalog_runs.QUERIES, **catalog_texts.QUERIES}
+ORACLE_SQL |= catalog_runs.ORACLE_SQL | catalog_texts.ORACLE_SQL
 ATTEMPT_COLUMNS = ["id", "url", "status", "project", "started_at", "error_type", "retry_count"]
-STATUSES = ["pending", "in_progress", "completed", "failed"]
 EPOCH, SPACING_MS = 1_700_000_000, 5_000
 
 
@@ -29,76 +29,66 @@ def query(f: Query) -> Query:
     return f
 
 
-def _log(spark: SparkSession, folder: str) -> DataFrame:
-    return history.current_attempts(table(spark, folder, "download_log"))
-
-
-def _queue(spark: SparkSession, folder: str) -> DataFrame:
-    """The queue with unknown status values read as pending."""
-    items = table(spark, folder, "queue_items")
-    return items.withColumn("status", F.when(F.col("status").isin(STATUSES), F.col("status")).otherwise("pending"))
-
-
 # --- history -----------------------------------------------------------------------------------
 
 
 @query
 def log_recent(spark: SparkSession, folder: str) -> DataFrame:
     """The newest attempts."""
-    return history.attempts(_log(spark, folder)).select(*ATTEMPT_COLUMNS)
+    return history.attempts(views.deliveries(spark, folder)).select(*ATTEMPT_COLUMNS)
 
 
 @query
 def log_by_status(spark: SparkSession, folder: str) -> DataFrame:
-    return history.attempts(_log(spark, folder), status="failed", limit=50).select(*ATTEMPT_COLUMNS)
+    return history.attempts(views.deliveries(spark, folder), status="failed", limit=50).select(*ATTEMPT_COLUMNS)
 
 
 @query
 def log_by_project(spark: SparkSession, folder: str) -> DataFrame:
-    return history.attempts(_log(spark, folder), project="basalt-corpus", limit=10_000).select(*ATTEMPT_COLUMNS)
+    return history.attempts(views.deliveries(spark, folder), project="basalt-corpus", limit=10_000).select(*ATTEMPT_COLUMNS)
 
 
 @query
 def log_since_until(spark: SparkSession, folder: str) -> DataFrame:
     """Both bounds included, compared as text."""
-    return history.attempts(_log(spark, folder), since="2022-03-01 00:00:00", until="2022-09-30 23:59:59", limit=10_000).select(*ATTEMPT_COLUMNS)
+    return history.attempts(views.deliveries(spark, folder), since="2022-03-01 00:00:00", until="2022-09-30 23:59:59", limit=10_000).select(*ATTEMPT_COLUMNS)
 
 
 @query
 def log_keyset_page(spark: SparkSession, folder: str) -> DataFrame:
-    return history.attempts(_log(spark, folder), after_id=100, before_id=2000, limit=100).select(*ATTEMPT_COLUMNS)
+    return history.attempts(views.deliveries(spark, folder), after_id=100, before_id=2000, limit=100).select(*ATTEMPT_COLUMNS)
 
 
 @query
 def log_by_domain(spark: SparkSession, folder: str) -> DataFrame:
     """The domain decides before the limit."""
-    return history.attempts(_log(spark, folder), domain=" .loomstudies.test", limit=100).select(*ATTEMPT_COLUMNS)
+    return history.attempts(views.deliveries(spark, folder), domain=" .loomstudies.test", limit=100).select(*ATTEMPT_COLUMNS)
 
 
 @query
 def log_uncertain(spark: SparkSession, folder: str) -> DataFrame:
-    return history.attempts(_log(spark, folder), uncertain_only=True, limit=500).select(*ATTEMPT_COLUMNS)
+    return history.attempts(views.deliveries(spark, folder), uncertain_only=True, limit=500).select(*ATTEMPT_COLUMNS)
 
 
 @query
 def log_confidence_json(spark: SparkSession, folder: str) -> DataFrame:
     """Attempts by what their stored confidence factors say."""
     factors = F.from_json("parse_confidence_factors", "has_authors boolean, has_year boolean, has_title boolean, author_count bigint")
-    held = _log(spark, folder).withColumn("f", factors).filter("f IS NOT NULL")
+    held = views.attempts(spark, folder, "parse_confidence_factors IS NOT NULL").withColumn("f", factors).filter("f IS NOT NULL")
     return held.groupBy("f.has_authors", "f.has_year", "f.has_title").agg(F.count("*").alias("attempts"), F.sum("f.author_count").alias("authors"))
 
 
 @query
 def log_multi_source(spark: SparkSession, folder: str) -> DataFrame:
     """The newest of every project's history, merged."""
-    log = _log(spark, folder).withColumn("source", F.coalesce("project", F.lit("")))
-    return history.merged_sources(log, "source", 100).select("source", "id", "started_at", "status")
+    log = views.attempts(spark, folder).withColumn("source", F.coalesce("project", F.lit("")))
+    return history.merged_sources(log, "source", 100).select("source", "id", "started_at", "status", "truncated")
 
 
 @query
 def log_failed_described(spark: SparkSession, folder: str) -> DataFrame:
     """Failed attempts with the class of the failure."""
-    failed = _log(spark, folder).filter("status = 'failed'")
+    failed = views.attempts(spark, folder, "status = 'failed'")
     what = failures.described_what(F.col("error_type"), F.col("http_status"), F.col("error_message"))
     return failed.select("id", failures.described_class(F.col("error_type"), F.col("error_message")).alias("category"), what.alias("what"))
 
@@ -111,19 +101,19 @@ def log_latest_id(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def log_status_class(spark: SparkSession, folder: str) -> DataFrame:
     """Failures by what their HTTP status, and where it is missing their message, says."""
-    failed = _log(spark, folder).filter("status = 'failed'")
+    failed = views.attempts(spark, folder, "status = 'failed'")
     return failed.groupBy(failures.status_class(F.col("http_status")).alias("class"), failures.failure_class(F.coalesce("error_message", F.lit(""))).alias("by_message")).agg(F.count("*").alias("attempts"))
 
 
 @query
 def search_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    return history.search_candidates(_log(spark, folder), since="2022-02-01 00:00:00", openable=True, cap=1000).select("id", "status", "title", "started_at")
+    return history.search_candidates(views.deliveries(spark, folder), since="2022-02-01 00:00:00", openable=True, cap=1000).select("id", "status", "title", "started_at")
 
 
 @query
 def search_ranked(spark: SparkSession, folder: str) -> DataFrame:
     """Best matches by kind, likeness and recency."""
-    found = history.ranked(history.search_candidates(_log(spark, folder)), "Granular", 200)
+    found = history.ranked(history.search_candidates(views.deliveries(spark, folder)), "Granular", 200)
     return found.select("id", "match_kind", F.round("similarity", 6).alias("similarity"), "matched_field")
 
 
@@ -132,12 +122,12 @@ def search_ranked(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def queue_claim_batch(spark: SparkSession, folder: str) -> DataFrame:
-    return queue.claim_batch(_queue(spark, folder), 25).select("id", "priority", "created_at")
+    return queue.claim_batch(views.queue_items(spark, folder), 25).select("id", "priority", "created_at")
 
 
 @query
 def queue_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return queue.counts(_queue(spark, folder))
+    return queue.counts(views.queue_items(spark, folder))
 
 
 @query
@@ -148,38 +138,38 @@ def queue_legacy_unscoped(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def queue_list_by_status(spark: SparkSession, folder: str) -> DataFrame:
     """All failed items in queue order."""
-    return _queue(spark, folder).filter("status = 'failed'").orderBy(F.desc("priority"), "created_at", "id").select("id", "priority", "created_at", "project")
+    return views.queue_items(spark, folder).filter("status = 'failed'").orderBy(F.desc("priority"), "created_at", "id").select("id", "priority", "created_at", "project")
 
 
 @query
 def queue_reset_in_progress(spark: SparkSession, folder: str) -> DataFrame:
-    return queue.counts(queue.recovered(_queue(spark, folder))).select("project", "status", "items")
+    return queue.counts(queue.recovered(views.queue_items(spark, folder))).select("project", "status", "items")
 
 
 @query
 def queue_fold_state(spark: SparkSession, folder: str) -> DataFrame:
     """The last thing the history says about every address."""
-    events = _log(spark, folder).select(F.col("url").alias("id"), F.col("id").alias("seq"), "status", "retry_count")
+    events = views.attempts(spark, folder).select(F.col("url").alias("id"), F.col("id").alias("seq"), "status", "retry_count")
     return queue.folded(events).select(F.col("id").alias("url"), "status", "retry_count")
 
 
 @query
 def queue_has_active_url(spark: SparkSession, folder: str) -> DataFrame:
     """Attempts of addresses that are queued or in progress in the same project."""
-    return queue.in_flight(_log(spark, folder).select("id", "url", "project"), _queue(spark, folder)).select("id")
+    return queue.in_flight(views.attempts(spark, folder).select("id", "url", "project"), views.queue_items(spark, folder)).select("id")
 
 
 @query
 def new_completed_anti(spark: SparkSession, folder: str) -> DataFrame:
     """Completed items whose creation lies after the first run's end."""
     before = table(spark, folder, "queue_items").filter("status = 'completed' AND updated_at < '2022-06-01 00:00:00'")
-    return queue.newly_completed(_queue(spark, folder), before).select("id")
+    return queue.newly_completed(views.queue_items(spark, folder), before).select("id")
 
 
 @query
 def dedup_registry_lookup(spark: SparkSession, folder: str) -> DataFrame:
     """Queue items against what was downloaded: present, gone or unknown."""
-    done = _log(spark, folder).filter("status = 'success'")
+    done = views.attempts(spark, folder, "status = 'success'")
     key = identifiers.dedup_key(F.col("doi"), F.col("url"))
     known = done.select(key.alias("dedup_key"), F.col("file_path").endswith(".pdf").alias("present")).filter("dedup_key IS NOT NULL").groupBy("dedup_key").agg(F.bool_or("present").alias("present"))
     none = F.lit(None).cast("string")
@@ -190,7 +180,7 @@ def dedup_registry_lookup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def registry_upsert(spark: SparkSession, folder: str) -> DataFrame:
     """A registry built from the successes of two runs."""
-    done = _log(spark, folder).filter("status = 'success' AND file_path IS NOT NULL").select(identifiers.dedup_key(F.col("doi"), F.col("url")).alias("dedup_key"), F.col("file_path").alias("relative_path"), F.col("started_at").alias("seen_at"))
+    done = views.attempts(spark, folder, "status = 'success' AND file_path IS NOT NULL").select(identifiers.dedup_key(F.col("doi"), F.col("url")).alias("dedup_key"), F.col("file_path").alias("relative_path"), F.col("started_at").alias("seen_at"))
     first = done.filter("seen_at < '2022-07-01 00:00:00'")
     return queue.upserted(first, done.filter("seen_at >= '2022-07-01 00:00:00'"))
 
@@ -240,27 +230,27 @@ def content_types(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def failure_summary(spark: SparkSession, folder: str) -> DataFrame:
-    failed = _log(spark, folder).filter("status = 'failed'")
+    failed = views.attempts(spark, folder, "status = 'failed'")
     return failed.groupBy(failures.described_class(F.col("error_type"), F.col("error_message")).alias("category")).agg(F.count("*").alias("failures"), F.countDistinct(urls.domain(F.col("url"))).alias("domains"))
 
 
 @query
 def failure_auth_domains(spark: SparkSession, folder: str) -> DataFrame:
     """Domains that asked for a login, from their failure messages."""
-    denied = _log(spark, folder).filter("error_type = 'auth'")
+    denied = views.attempts(spark, folder, "error_type = 'auth'")
     message = F.concat(F.lit("[AUTH] authentication required for "), urls.domain(F.col("url")), F.lit(" (HTTP "), F.coalesce(F.col("http_status").cast("string"), F.lit("401")), F.lit(")"))
     return denied.groupBy(failures.auth_domain(message).alias("domain")).agg(F.count("*").alias("failures"))
 
 
 @query
 def http_status_class(spark: SparkSession, folder: str) -> DataFrame:
-    log = _log(spark, folder).filter("http_status IS NOT NULL")
+    log = views.attempts(spark, folder, "http_status IS NOT NULL")
     return log.groupBy("http_status", failures.status_class(F.col("http_status")).alias("class"), failures.status_error_type(F.col("http_status")).alias("error_type")).agg(F.count("*").alias("n"))
 
 
 @query
 def retry_schedule(spark: SparkSession, folder: str) -> DataFrame:
-    failed = _log(spark, folder).filter("status = 'failed'").select("id", failures.status_class(F.coalesce("http_status", F.lit(503))).alias("failure"))
+    failed = views.attempts(spark, folder, "status = 'failed'").select("id", failures.status_class(F.coalesce("http_status", F.lit(503))).alias("failure"))
     return rates.retry_schedule(failed, 6).select("id", "attempt", "delay_ms")
 
 
@@ -270,7 +260,7 @@ def retry_after_parse(spark: SparkSession, folder: str) -> DataFrame:
     k = F.col("id") % 5
     date = F.date_format(F.to_timestamp("started_at") + F.expr("INTERVAL 90 SECONDS"), "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
     header = F.when(k == 0, (F.col("id") * 7).cast("string")).when(k == 1, "-5").when(k == 2, date).when(k == 3, "soon").otherwise(" 30 ")
-    log = _log(spark, folder).select("id", failures.retry_after_s(header, F.to_timestamp("started_at")).alias("wait_s"))
+    log = views.attempts(spark, folder).select("id", failures.retry_after_s(header, F.to_timestamp("started_at")).alias("wait_s"))
     return log
 
 
@@ -314,27 +304,19 @@ def cookie_netscape_parse(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def cookie_domain_status(spark: SparkSession, folder: str) -> DataFrame:
-    cookies = table(spark, folder, "customer").select(F.concat(F.lit(".d"), F.col("c_nationkey"), F.lit(".example")).alias("domain"), F.when(F.col("c_custkey") % 3 == 0, 0).otherwise(F.col("c_custkey") * 100).alias("expires")).filter("expires % 7 != 1")
+    cookies = table(spark, folder, "customer").select(F.concat(F.lit(".d"), F.col("c_nationkey"), F.lit(".example")).alias("domain"), F.when(F.col("c_custkey") % 3 == 0, 0).otherwise(F.col("c_custkey") * 100).alias("expires"))
     return web.cookie_status(cookies, 60_000)
 
 
-def _pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages rendered from records: title with an entity, citation tags in either attribute order."""
-    tag = lambda name, value: F.concat(F.lit(f'<meta name="{name}" content="'), value, F.lit('">\n'))
-    title = F.replace(F.col("title"), F.lit("&"), F.lit("&amp;"))
-    html = F.concat(F.lit("<html><head><title> "), title, F.lit(" </title>\n<meta charset='utf-8'>"), tag("citation_title", title), F.lit("<meta content='"), F.coalesce("doi", F.lit("none")), F.lit("' name='citation_doi'>"), tag("citation_author", F.col("key")), tag("citation_author", F.col("key")), tag("citation_author", F.col("entry_type")), F.lit("</head><body><a href=\"/files/"), F.col("bib_id"), F.lit('.pdf">x</a></body></html>'))
-    return table(spark, folder, "bibtex_entries").filter("title IS NOT NULL AND NOT contains(title, '\"')").select("bib_id", html.alias("html"))
-
-
 @query
 def html_meta_tags(spark: SparkSession, folder: str) -> DataFrame:
     tags = web.meta_tags(F.col("html"))
-    return _pages(spark, folder).select("bib_id", web.first_meta(tags, "citation_title").alias("title"), web.first_meta(tags, "dc.identifier", "citation_doi").alias("doi"), F.array_join(web.all_meta(tags, "citation_author"), "|").alias("authors"))
+    return views.pages(spark, folder).select("bib_id", web.first_meta(tags, "citation_title").alias("title"), web.first_meta(tags, "dc.identifier", "citation_doi").alias("doi"), F.array_join(web.all_meta(tags, "citation_author"), "|").alias("authors"))
 
 
 @query
 def html_title(spark: SparkSession, folder: str) -> DataFrame:
-    return _pages(spark, folder).select("bib_id", web.title(F.col("html")).alias("title"), web.pdf_link(F.col("html")).alias("pdf"))
+    return views.pages(spark, folder).select("bib_id", web.title(F.col("html")).alias("title"), web.pdf_link(F.col("html")).alias("pdf"))
 
 
 @query
@@ -433,6 +415,14 @@ def parse_items_ordered(spark: SparkSession, folder: str) -> DataFrame:
     return parsing.parsed_items(_inputs(spark, folder))
 
 
+@query
+def parse_skipped(spark: SparkSession, folder: str) -> DataFrame:
+    """What is set apart of raw records and documents read as running text, by its kind."""
+    raw = table(spark, folder, "raw_records").select(F.col("record_id").alias("input_id"), F.col("raw").alias("text"))
+    found = parsing.skipped_parts(raw.unionByName(table(spark, folder, "documents").select(F.col("doc_id").alias("input_id"), "text")))
+    return found.groupBy(F.regexp_extract("message", r"^(What: [a-z]+ BibTeX|unparseable reference|10\.|https?:)", 1).alias("what")).agg(F.count("*").alias("n"))
+
+
 @query
 def parse_type_counts(spark: SparkSession, folder: str) -> DataFrame:
     return parsing.type_counts(parsing.parsed_items(_inputs(spark, folder)))
@@ -497,26 +487,52 @@ def confidence_distribution(spark: SparkSession, folder: str) -> DataFrame:
     return parsing.references(_citations(spark, folder)).groupBy("confidence").agg(F.count("*").alias("n"))
 
 
+def _bibliographies(spark: SparkSession, folder: str) -> DataFrame:
+    """Bibliographies of numbered lines, wrapped lines and blocks, one per customer."""
+    k = F.col("c_custkey")
+    text = F.concat(F.lit("Further reading:\n[1] Smith, J. (2001). First of "), F.col("c_name"), F.lit(".\nPress.\n2) Jones, K. (2002). Second, a journal.\n\nLiterature\nBrown, L. (2003). Third "), k, F.lit("\nwrapped line.\nGreen, M. (2004). Fourth. End.\n---\n12.\n3. too short\n4. foo, bar, baz, qux, quux, corge"))
+    return table(spark, folder, "customer").select(k.cast("bigint").alias("input_id"), text.alias("text"))
+
+
 @query
 def bibliography_segments(spark: SparkSession, folder: str) -> DataFrame:
-    """Entries of bibliographies of numbered lines, wrapped lines and blocks."""
-    k = F.col("n_nationkey")
-    text = F.concat(F.lit("References\n[1] Smith, J. (2001). First of "), F.col("n_name"), F.lit(".\nPress.\n2) Jones, K. (2002). Second.\n\nBrown, L. (2003). Third "), k, F.lit("\nwrapped line.\nGreen, M. (2004). Fourth.\n---\n"))
-    return parsing.bibliography_entries(table(spark, folder, "nation").select(k.cast("bigint").alias("input_id"), text.alias("text")))
+    """The entries of bibliographies that look like references."""
+    return parsing.bibliography_entries(_bibliographies(spark, folder))
+
+
+@query
+def bibliography_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """How many references were found, accepted and left uncertain."""
+    return parsing.bibliography_summary(parsing.bibliographies(_bibliographies(spark, folder)))
+
+
+@query
+def bibliography_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The references in the documents, with what was found in each."""
+    texts = table(spark, folder, "documents").select(F.col("doc_id").alias("input_id"), "text")
+    return parsing.bibliographies(texts).select("input_id", "entry_no", "entry", F.array_join("authors", "|").alias("authors"), "year", "title", "confidence", "accepted")
 
 
 @query
 def ris_parse(spark: SparkSession, folder: str) -> DataFrame:
     """The raw RIS records parsed back into the columns they were written from."""
     raw = table(spark, folder, "ris_entries").select(F.col("ris_id").alias("input_id"), F.col("raw").alias("text"))
-    return parsing.ris_entries(parsing.ris_records(raw)).select(F.col("input_id").alias("ris_id"), "entry_type", F.trim("title").alias("title"), "year", "doi", "url")
+    found = parsing.ris_entries(parsing.ris_records(raw))
+    return found.select(F.col("input_id").alias("ris_id"), "entry_type", F.trim("title").alias("title"), F.array_join("authors", "|").alias("authors"), "year", "doi", "url", "problem")
+
+
+@query
+def ris_items(spark: SparkSession, folder: str) -> DataFrame:
+    """What a RIS import makes of the records: DOI or address, and reference."""
+    raw = table(spark, folder, "ris_entries").select(F.col("ris_id").alias("input_id"), F.col("raw").alias("text"))
+    return parsing.ris_items(parsing.ris_entries(parsing.ris_records(raw))).select(F.col("input_id").alias("ris_id"), "ord", "kind", "value")
 
 
 @query
 def bibtex_parse(spark: SparkSession, folder: str) -> DataFrame:
     """The raw BibTeX entries parsed back into the columns they were written from."""
-    raw = table(spark, folder, "bibtex_entries").select(F.col("bib_id").alias("record_id"), F.lit("bibtex").alias("fmt"), "raw")
-    return loaded_entries(load_raw_records(raw)).select(F.col("record_id").alias("bib_id"), "entry_type", F.col("entry_key").alias("key"), "year", "doi")
+    raw = table(spark, folder, "bibtex_entries").select(F.col("bib_id").alias("input_id"), F.col("raw").alias("text"))
+    return parsing.bibtex_entries(raw).select(F.col("input_id").alias("bib_id"), "entry_type", "key", F.trim("title").alias("title"), "authors", "year", "doi", "problem")
 
 
 @query
@@ -550,16 +566,14 @@ def topics_rake(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def filename_preferred(spark: SparkSession, folder: str) -> DataFrame:
     name = naming.preferred_filename(F.col("url"), F.col("authors"), F.lit("2020"), F.col("title"), F.lit(EPOCH))
-    return _log(spark, folder).filter("status = 'success'").select("id", name.alias("filename"))
+    return views.attempts(spark, folder, "status = 'success'").select("id", name.alias("filename"))
 
 
 @query
 def filename_unique(spark: SparkSession, folder: str) -> DataFrame:
     """Suggested names numbered where they repeat within a project."""
-    named = table(spark, folder, "queue_items").filter("suggested_filename IS NOT NULL AND project IS NOT NULL").select("id", "project", "suggested_filename")
-    named = numbered(named, ["project", "suggested_filename"], "id", "n")
-    stem, ending = F.regexp_extract("suggested_filename", r"^(.*?)(?:\.[^.]*)?$", 1), F.regexp_extract("suggested_filename", r"(\.[^.]*)$", 1)
-    return named.select("id", F.when(F.col("n") == 0, F.col("suggested_filename")).otherwise(F.concat(stem, F.lit("_"), F.col("n"), ending)).alias("filename"))
+    named = table(spark, folder, "queue_items").filter("suggested_filename IS NOT NULL").select("id", F.coalesce("project", F.lit("")).alias("project"), "suggested_filename")
+    return unique_names(named, "project", "suggested_filename", "id").select("id", F.col("unique_name").alias("filename"))
 
 
 @query
@@ -568,59 +582,57 @@ def project_sanitize(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "projects").select("project", naming.project_name(label).alias("name"), naming.project_folder(label).alias("folder"))
 
 
-def _corpus(spark: SparkSession, folder: str) -> DataFrame:
-    meta = table(spark, folder, "queue_metadata").filter("title IS NOT NULL")
-    return meta.select(F.concat(F.lit("c/"), F.lpad(F.col("meta_id").cast("string"), 9, "0"), F.lit(".json")).alias("path"), "title", naming.sidecar_authors(F.col("authors")).alias("authors"), F.col("year").alias("date"), "doi", F.lit(None).cast("string").alias("url"))
-
-
 @query
 def export_bibtex(spark: SparkSession, folder: str) -> DataFrame:
-    return exports.bibtex_entries(_corpus(spark, folder)).select("path", "entry")
+    return exports.bibtex_entries(views.corpus(spark, folder)).select("path", "entry")
 
 
 @query
 def export_ris(spark: SparkSession, folder: str) -> DataFrame:
-    return exports.ris_records(_corpus(spark, folder)).select("path", "entry")
+    return exports.ris_records(views.corpus(spark, folder)).select("path", "entry")
 
 
 @query
 def sidecar_json(spark: SparkSession, folder: str) -> DataFrame:
     """Sidecar documents of the completed items."""
-    return exports.sidecars(_queue(spark, folder))
+    return exports.sidecars(views.queue_items(spark, folder))
 
 
 @query
 def sidecar_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """What a corpus scan reads back from them."""
-    documents = exports.sidecars(_queue(spark, folder)).select(F.concat(F.lit("c/"), F.col("id"), F.lit(".json")).alias("path"), "document")
+    documents = exports.sidecars(views.queue_items(spark, folder)).select(F.concat(F.lit("c/"), F.col("id"), F.lit(".json")).alias("path"), "document")
     return exports.read_sidecars(documents).select("path", "title", F.size("authors").alias("authors"), "date", "doi", "url")
 
 
 @query
 def index_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return exports.index_rows(_queue(spark, folder))
+    return exports.index_rows(views.queue_items(spark, folder))
 
 
 @query
 def download_log_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return exports.log_rows(_log(spark, folder))
+    return exports.log_rows(views.attempts(spark, folder))
 
 
 @query
 def project_topics(spark: SparkSession, folder: str) -> DataFrame:
     """The distinct topics of every project's completed items."""
-    each = _queue(spark, folder).filter("status = 'completed' AND project IS NOT NULL").select("project", F.explode(topics.normal_topics(topics.stored_topics(F.col("topics")))).alias("topic"))
+    each = views.queue_items(spark, folder).filter("status = 'completed'").select("project", F.explode(topics.normal_topics(topics.stored_topics(F.col("topics")))).alias("topic"))
     return each.distinct().groupBy("project").agg(F.array_join(F.array_sort(F.collect_set("topic")), "|").alias("topics"))
 
 
 @query
 def convert_eligible(spark: SparkSession, folder: str) -> DataFrame:
-    """Completed pages without a PDF beside them, and not of hosts that give none."""
+    """Downloaded pages by what a conversion would do: skipped beside a PDF or of a host that gives none, else converted.
+
+    Pages, PDFs and sidecars are met by the path without its ending; the sidecar names the host.
+    """
     skipped = ["archive.slowmaterials.example", "tides.example"]
-    log = _log(spark, folder).filter("status = 'success'").withColumn("stem", F.regexp_replace("file_path", r"\.[^.]*$", ""))
-    pages = log.filter("content_type = 'text/html' OR content_type = 'application/octet-stream'")
-    useless = F.coalesce(*[F.when(urls.host_within(F.col("url"), h), True) for h in skipped], F.lit(False))
-    return pages.filter(~useless).join(log.filter("content_type = 'application/pdf'").select("stem"), "stem", "left_anti").select("id")
+    log = views.attempts(spark, folder, "status = 'success'").withColumn("stem", F.regexp_replace("file_path", r"\.[^./]*$", ""))
+    pages = log.filter("content_type = 'text/html' OR content_type = 'application/octet-stream'").select("id", "stem")
+    cards = views.queue_items(spark, folder).filter("status = 'completed' AND saved_path IS NOT NULL").select(F.regexp_replace("saved_path", r"\.[^./]*$", "").alias("stem"), "url")
+    return exports.conversion_plan(pages, log.filter("content_type = 'application/pdf'").select("stem"), cards, skipped).select("id", "action")
 
 
 # --- streams -----------------------------------------------------------------------------------
@@ -632,6 +644,20 @@ def stream_progress(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.drained(jobs.progress(jobs.table_stream(spark, folder, "events"))).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
+@query
+def stream_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    """Events per kind, as the last of the snapshots tells."""
+    return jobs.snapshots(jobs.table_stream(spark, folder, "events"))
+
+
+@query
+def stream_rules_read(spark: SparkSession, folder: str) -> DataFrame:
+    """The requests at which the rules of an origin are read anew."""
+    stream = jobs.table_stream(spark, folder, "events")
+    requests = stream.select(F.col("event_id").alias("id"), F.concat(F.lit("https://host"), F.col("user_id") % 50, F.lit(".example/x")).alias("url"), F.unix_millis("ts").alias("at_ms"))
+    return jobs.drained(jobs.rules_to_read(requests, ends=False))
+
+
 @query
 def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """The users seen in the stream, each once."""
@@ -643,4 +669,4 @@ def stream_rate_limiter(spark: SparkSession, folder: str) -> DataFrame:
     """The stateful form of ``rate_limit_schedule``; gives the same rows."""
     stream = jobs.table_stream(spark, folder, "events")
     requests = stream.select(F.col("event_id").alias("id"), F.concat(F.lit("https://host"), F.col("user_id") % 50, F.lit(".example/x")).alias("url"), F.unix_millis("ts").alias("arrived_ms"))
-    return jobs.drained(jobs.spaced_requests(requests, 60_000)).select("domain", "id", "arrived_ms", "start_ms")
+    return jobs.drained(jobs.spaced_requests(requests, 60_000, None)).select("domain", "id", "arrived_ms", "start_ms")
