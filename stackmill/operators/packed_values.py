@@ -152,11 +152,6 @@ def _is_value(text: str) -> bool:
     return not (_ONLY_PUNCTUATION.match(text) or _LEFT_OUT_ALL.match(text) or text.lower() in STAND_INS)
 
 
-def _uncut(text: str) -> int:
-    """How many delimiters of the rarer kinds stand in a text."""
-    return sum(text.count(mark) for mark in RARE_MARKS)
-
-
 class Parser:
     """Cheapest parses under given code lengths.
 
@@ -229,20 +224,21 @@ class Parser:
             return []
         text, protected = _prepared(text)
         low = text.lower()
-        present = [p for sign, p in DELIMITERS if sign in low and p.search(text)]
+        present = [(p, text.count(sign) if sign in RARE_MARKS else 0) for sign, p in DELIMITERS if sign in low and p.search(text)]
         best: tuple[float, int] | None = None
         chosen: tuple[list[Span], int] = ([], 0)
         for quoting in (True, False) if protected else (True,):
             for used in product((True, False), repeat=len(present)):
                 delimiters = sum(used) + (not quoting) * 2
+                if best is not None and not self.marked:
+                    # Delimiters left uncut are words of values that no known form holds.
+                    left = sum(n for (_, n), on in zip(present, used, strict=True) if not on)
+                    if left and delimiters * DELIMITER_BITS + VALUE_BITS + ESCAPE_BITS + ESCAPE_BITS_PER_TOKEN * left > best[0]:
+                        continue
                 spans = [(0, len(text))]
-                for pattern, on in zip(present, used, strict=True):
+                for (pattern, _), on in zip(present, used, strict=True):
                     if on:
                         spans = _pieces(text, spans, pattern, protected if quoting else [])
-                if best is not None and not self.marked and not all(used):
-                    left = sum(_uncut(text[a:b]) for a, b in spans)
-                    if left and delimiters * DELIMITER_BITS + VALUE_BITS + ESCAPE_BITS + ESCAPE_BITS_PER_TOKEN * left > best[0]:
-                        continue
                 for commas in (0, 1 if quoting else 2) if "," in text else (0,):
                     cost = (delimiters + (commas > 0)) * DELIMITER_BITS
                     held = 0
@@ -334,8 +330,15 @@ def _count_forms(made: Callable[[], Callable[[str], list[tuple[str, float]]]]) -
 def _rarely_cut(bones: str) -> list[tuple[str, float]]:
     """Forms of the values that the rarer delimiters cut; those of a field without any count little."""
     text, shield = _prepared(bones)
-    values = [v for v in (_clean(text[a:b]) for a, b in _pieces(text, [(0, len(text))], _RARE, shield)) if _is_value(v)]
-    return [(form_of(v), 1.0 if len(values) > 1 else SINGLE_WEIGHT) for v in values]
+    forms = [form for form in (_form(text[a:b]) for a, b in _pieces(text, [(0, len(text))], _RARE, shield)) if form]
+    return [(form, 1.0 if len(forms) > 1 else SINGLE_WEIGHT) for form in forms]
+
+
+@lru_cache(maxsize=MEMORY)
+def _form(stretch: str) -> str:
+    """The form of the value in a stretch; empty when it holds none."""
+    value = _clean(stretch)
+    return form_of(value) if _is_value(value) else ""
 
 
 def _chosen(codes: Codes) -> Callable[[], Callable[[str], list[tuple[str, float]]]]:
