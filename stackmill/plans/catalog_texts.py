@@ -54,7 +54,7 @@ def url_login_redirect(spark: SparkSession, folder: str) -> DataFrame:
     return log.select("id", urls.login_domain(F.col("url"), F.expr(_TYPE), F.expr(_FINAL)).alias("login"))
 
 
-@query(f"SELECT id, CASE WHEN id % 2 = 0 THEN 'https://p.example/doi/' || CASE WHEN id % 3 = 0 THEN 'abs/' ELSE '' END || id END AS referer, '{EPOCH}' AS epoch, CASE WHEN {path('url')} LIKE '%/' THEN 'download_{EPOCH}.bin' ELSE regexp_replace(regexp_extract({path('url')}, '([^/]*)$', 1), '[/\\\\:*?\"<>|]', '_', 'g') END AS fallback FROM queue_items WHERE url IS NOT NULL")
+@query(f"SELECT id, CASE WHEN id % 2 = 0 THEN 'https://p.example/doi/' || CASE WHEN id % 3 = 0 THEN 'abs/' ELSE '' END || id END AS referer, '{EPOCH}' AS epoch, CASE WHEN {path('url')} LIKE '%/' THEN 'download_{EPOCH}.bin' WHEN regexp_matches({path('url')}, '/\\.\\.?$') THEN repeat('_', length({path('url')}) - length(regexp_replace({path('url')}, '\\.+$', ''))) ELSE regexp_replace(regexp_extract({path('url')}, '([^/]*)$', 1), '[/\\\\:*?\"<>|]', '_', 'g') END AS fallback FROM queue_items WHERE url IS NOT NULL")
 def url_names(spark: SparkSession, folder: str) -> DataFrame:
     """Landing pages of direct links, and names of files from addresses alone."""
     k = F.col("id")
