@@ -212,7 +212,7 @@ def link_names(names: DataFrame, reference: DataFrame) -> DataFrame:
     Null, blank and unreadable names give no row; repeated rows count once; a name of any length is
     read whole; empty tables give none.
     """
-    names = cut(names.filter("trim(name) != ''").select("record_id", "pos", F.trim("name").alias("name")).distinct())
+    names = cut(names.filter("trim(name) != ''").select("record_id", "pos", F.trim("name").alias("name")))
     counted = names.groupBy("name").agg(F.count("*").alias("n"))
     resolved = cut(resolve_names(counted, reference_entities(reference)))
-    return attach(names, counted.join(resolved, "name"), ["name"], "n").select("record_id", "pos", "entity_id")
+    return attach(names, counted.join(resolved, "name"), ["name"], "n").select("record_id", "pos", "entity_id").distinct()
