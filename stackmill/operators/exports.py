@@ -44,6 +44,15 @@ def document_lines(entries: DataFrame, blank: bool = True) -> DataFrame:
     return entries.join(F.broadcast(first)).select("path", F.posexplode(F.concat(after, lines)).alias("no", "line"))
 
 
+def exported(corpus: DataFrame, form: str) -> DataFrame:
+    """(path, no, line): a corpus in one of the forms, ``bibtex`` or ``ris``; another is an error."""
+    forms = {"bibtex": (bibtex_entries, True), "ris": (ris_records, False)}
+    if form not in forms:
+        raise ValueError(f"unknown form {form!r}: one of {', '.join(forms)}")
+    make, blank = forms[form]
+    return document_lines(make(corpus), blank)
+
+
 def sidecar_path(saved_path: Column) -> Column:
     """The path of a file's sidecar: its extension replaced."""
     return F.concat(F.regexp_replace(saved_path, r"(?<=[^/])\.[^./]*$", ""), F.lit(".json"))

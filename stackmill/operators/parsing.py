@@ -48,6 +48,12 @@ def skipped_parts(texts: DataFrame) -> DataFrame:
     return parsed_texts(texts).filter("kind = 'skipped'").select("input_id", "ord", F.col("value").alias("message"))
 
 
+def with_file_items(parsed: DataFrame, of_files: DataFrame) -> DataFrame:
+    """(input_id, part, ord, kind, value): items of texts (part 0), then those of bibliography files (part 1), each in their order."""
+    pick = lambda df, part: df.filter("kind != 'skipped'").select("input_id", F.lit(part).alias("part"), "ord", "kind", "value")
+    return pick(parsed, 0).unionByName(pick(of_files, 1))
+
+
 def type_counts(parsed: DataFrame) -> DataFrame:
     """Items per kind, as one row."""
     return parsed.agg(*[F.count_if(F.col("kind") == k).alias(f"{k}_items") for k in KINDS])

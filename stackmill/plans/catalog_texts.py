@@ -264,6 +264,16 @@ def input_ris_values(spark: SparkSession, folder: str) -> DataFrame:
     return values_of_items(parsing.ris_items(parsing.ris_entries(parsing.ris_records(raw))))
 
 
+@query("SELECT 0 AS part, 'url' AS kind, count(*) AS n FROM part UNION ALL SELECT 0, 'doi', count(*) FROM part UNION ALL SELECT 1, k, count(*) FROM (SELECT CASE WHEN doi IS NOT NULL THEN 'doi' WHEN url IS NOT NULL THEN 'url' END AS k FROM ris_entries) WHERE k IS NOT NULL GROUP BY 2 UNION ALL SELECT 1, 'reference', count(*) FROM ris_entries")
+def input_all_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Items of texts and of bibliography files together, counted by where they come from and kind."""
+    n = F.col("p_partkey")
+    texts = table(spark, folder, "part").select(n.alias("input_id"), F.concat(F.lit("https://x.example/"), n, F.lit(" 10.5555/p"), n).alias("text"))
+    raw = table(spark, folder, "ris_entries").select(F.col("ris_id").alias("input_id"), F.col("raw").alias("text"))
+    items = parsing.with_file_items(parsing.parsed_items(texts), parsing.ris_items(parsing.ris_entries(parsing.ris_records(raw))))
+    return items.groupBy("part", "kind").agg(F.count("*").alias("n"))
+
+
 @query("SELECT input_id, octet_length(encode(l)) > 20 AND (regexp_matches(l, '\\b(18|19|20)[0-9]{2}\\b') OR length(l) - length(replace(l, ',', '')) >= 3 OR regexp_matches(lower(l), 'journal|vol\\.|pp\\.|et al\\.')) AS is_reference FROM (SELECT id AS input_id, trim(original_input) AS l FROM queue_items WHERE original_input IS NOT NULL)")
 def reference_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Inputs that look like references by themselves."""

@@ -59,7 +59,22 @@ def cut(df: DataFrame) -> DataFrame:
     if not _FOLDERS:
         atexit.register(_clean, spark)
     _FOLDERS.append(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out.cut_folder = folder
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a table made by ``cut`` that nothing reads any more, as the rounds of a loop leave them behind."""
+    folder = getattr(table, "cut_folder", None)
+    if folder in _FOLDERS:
+        _delete(table.sparkSession, folder)
+        _FOLDERS.remove(folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 _FOLDERS: list[str] = []
@@ -68,9 +83,7 @@ _FOLDERS: list[str] = []
 def _clean(spark: SparkSession) -> None:
     """Remove the tables of this application; a stopped session leaves them to the folder's owner."""
     try:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         for folder in _FOLDERS:
-            at = path(folder)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, folder)
     except Exception:  # noqa: BLE001 - the gateway may be gone when the interpreter ends
         return

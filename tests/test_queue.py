@@ -1,5 +1,8 @@
 """Queue events, runs and registry."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from stackmill.operators import queue
 
 
@@ -73,3 +76,29 @@ def test_items_without_keys_are_misses(spark):
     registry = spark.createDataFrame([("url:x", True)], "dedup_key string, present boolean")
     got = {r["id"]: r["outcome"] for r in queue.looked_up(rows, registry).collect()}
     assert got.pop(90) == "hit" and set(got.values()) == {"miss"} and len(got) == 50
+
+
+def test_queue_in_a_folder(spark, tmp_path):
+    from stackmill.sources.queue_log import QueueLog, UnknownItems
+
+    log = QueueLog(spark, str(tmp_path))
+    assert log.state().count() == 0
+    new = spark.createDataFrame([(1, "u1", "doi", "p"), (2, "u2", "url", None)], "ord long, url string, source_type string, project string")
+    log.enqueue(new, "t0")
+    log.enqueue(new.limit(1), "t1")
+    assert [(r["id"], r["url"], r["status"]) for r in log.listed().collect()] == [(1, "u1", "pending"), (2, "u2", "pending"), (3, "u1", "pending")]
+    assert [r["id"] for r in log.claim(2, "t2").orderBy("id").collect()] == [1, 2] and log.in_progress().count() == 2 and log.unscoped() == 1
+    ids = lambda *i: spark.createDataFrame([(x,) for x in i], "id long")
+    log.complete(ids(1).withColumn("saved_path", F.lit("p/a.pdf")), "t3")
+    log.fail(ids(2).withColumn("last_error", F.lit("timeout")).withColumn("retry_count", F.lit(2)), "t3")
+    log.progress(ids(3).withColumn("bytes_downloaded", F.lit(5)).withColumn("content_length", F.lit(9)), "t3")
+    log.requeue(ids(2), "t4")
+    log.claim(1, "t5", "p")
+    assert log.reset("t6") == 1 and log.clear("completed", "t7") == 1
+    got = {r["id"]: (r["status"], r["retry_count"], r["last_error"], r["bytes_downloaded"]) for r in log.state().collect()}
+    assert got == {2: ("pending", 2, "timeout", 0), 3: ("pending", 0, None, 5)}
+    assert log.active(spark.createDataFrame([("u1", "p"), ("u1", "q")], "url string, project string")).count() == 1 and log.get(3).first()["content_length"] == 9
+    log.remove(ids(3), "t8")
+    with pytest.raises(UnknownItems):
+        log.requeue(ids(77), "t9")
+    assert {r["status"]: r["items"] for r in log.counts().collect()} == {"pending": 1}
