@@ -42,3 +42,15 @@ def test_filters_reach_the_scan(spark):
 
 def test_stream_limiter_equals_closed_form(spark):
     assert oracle.of_spark(catalog.QUERIES["stream_rate_limiter"](spark, FOLDER)) == oracle.of_spark(catalog.QUERIES["rate_limit_schedule"](spark, FOLDER))
+
+
+def test_history_pages_are_cut_before_folding(spark):
+    plan = _plan(catalog.QUERIES["log_by_status"](spark, FOLDER))
+    window = plan.index("Window")
+    # Below the window only the rows of the page are left: they come from a join with the top-k of ids.
+    assert "BroadcastHashJoin" in plan[window:] and "TakeOrderedAndProject" in plan[window:] and "EqualTo(status,failed)" in plan
+
+
+def test_keywords_and_parsing_shuffle_nothing(spark):
+    for name in ("topics_rake", "parse_items_ordered", "bibtex_parse", "url_canonical", "page_walls"):
+        assert "Exchange" not in _plan(catalog.QUERIES[name](spark, FOLDER)), name
