@@ -39,9 +39,9 @@ def document_lines(entries: DataFrame, blank: bool = True) -> DataFrame:
     The document is never gathered in one place: ``sources.files.write_rows`` writes it part by part.
     """
     lines = F.split(F.col("entry"), "\n")
-    first = entries.agg(F.min("path").alias("_first"))  # one row
-    after = F.when((F.col("path") > F.col("_first")) & F.lit(blank), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
-    return entries.join(F.broadcast(first)).select("path", F.posexplode(F.concat(after, lines)).alias("no", "line"))
+    first = entries.agg(F.min("path")).first()[0]
+    after = F.when((F.col("path") > F.lit(first)) & F.lit(blank), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return entries.select("path", F.posexplode(F.concat(after, lines)).alias("no", "line"))
 
 
 def exported(corpus: DataFrame, form: str) -> DataFrame:

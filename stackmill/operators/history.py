@@ -11,13 +11,13 @@ from stackmill.functions.urls import clean_domain_filter, host_within
 DEFAULT_LIMIT, MOST_ROWS, FUZZY = 200, 10_000, 0.86
 
 
-def current_attempts(log: DataFrame) -> DataFrame:
-    """One row per attempt: of rows delivered again, the one logged last; of equal times, one and the same of them.
+def current_attempts(log: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """One row per attempt (``keys``): of rows delivered again, the one logged last; of equal times, one and the same of them.
 
     An attempt does not change once it is logged: a row delivered again repeats it with a later
     ``logged_at``. So filters on an attempt's own columns belong before this, where they reach the scan.
     """
-    latest = Window.partitionBy("id").orderBy(F.desc("logged_at"), F.xxhash64(*log.columns))
+    latest = Window.partitionBy(*keys).orderBy(F.desc("logged_at"), F.xxhash64(*log.columns))
     return log.withColumn("_n", F.row_number().over(latest)).filter("_n = 1").drop("_n")
 
 
@@ -82,14 +82,18 @@ def attempts(
 def merged_sources(log: DataFrame, source: str, limit: int) -> DataFrame:
     """The newest attempts over several sources, with ``truncated``: whether there are more.
 
-    One more row than asked for is taken, as a merge of each source's newest would; which rows these
-    are does not depend on the sources, so one top-k over all of them gives them.
+    ``log`` may hold attempts delivered again; ids repeat between sources. One more row than asked for
+    is taken, as a merge of each source's newest would; which rows these are does not depend on the
+    sources, so one top-k over all of them gives them, and only they are folded.
     """
     order = [F.desc("started_at"), F.desc("id"), F.asc(source)]
-    page = log.orderBy(*order).limit(limit + 1)
-    place = F.row_number().over(Window.orderBy(*order))  # of limit + 1 rows at most
+    names = ["started_at", "id", source]
+    page = log.select(*names).distinct().orderBy(*order).limit(limit + 1).select(*[F.col(c).alias(f"_{c}") for c in names])
+    held = log.join(F.broadcast(page), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names], "left_semi")  # at most limit + 1 attempts
+    held = current_attempts(held, (source, "id"))
     total = F.count("*").over(Window.partitionBy())
-    return page.withColumn("_n", place).withColumn("truncated", total > limit).filter(F.col("_n") <= limit).drop("_n")
+    placed = held.withColumn("_n", F.row_number().over(Window.orderBy(*order))).withColumn("truncated", total > limit)
+    return placed.filter(F.col("_n") <= limit).drop("_n")
 
 
 def search_sources(log: DataFrame, source: str, cap: int = MOST_ROWS) -> DataFrame:

@@ -32,11 +32,11 @@ def enqueued(queue: DataFrame, items: DataFrame, now: str) -> DataFrame:
     """New pending rows of ``queue``'s columns for (ord, url, source_type, original_input, project, metadata).
 
     Ids go on from the greatest of the queue in the order of ``ord``; whatever of the metadata is
-    not given is null. Nothing is collected: the greatest id is joined as one row.
+    not given is null. One number, the greatest id, comes to the driver.
     """
-    last = queue.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
-    rows = numbered_table(items, "ord", "_n").join(F.broadcast(last))  # one row
-    made = {"id": F.col("_last") + 1 + F.col("_n"), "status": F.lit("pending"), "priority": F.lit(PRIORITY).cast("bigint"), "retry_count": F.lit(RETRIES).cast("bigint"), "created_at": F.lit(now), "updated_at": F.lit(now)}
+    last = queue.agg(F.max("id")).first()[0] or 0
+    rows = numbered_table(items, "ord", "_n")
+    made = {"id": F.lit(last + 1) + F.col("_n"), "status": F.lit("pending"), "priority": F.lit(PRIORITY).cast("bigint"), "retry_count": F.lit(RETRIES).cast("bigint"), "created_at": F.lit(now), "updated_at": F.lit(now)}
     given = {c for c in ("url", "source_type", "original_input", "project", *METADATA) if c in items.columns}
     types = dict(queue.dtypes)
     return rows.select(*[(made[c] if c in made else F.col(c) if c in given else F.lit(None)).cast(types[c]).alias(c) for c in queue.columns])

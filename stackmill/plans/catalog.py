@@ -81,7 +81,7 @@ def log_confidence_json(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def log_multi_source(spark: SparkSession, folder: str) -> DataFrame:
     """The newest of every project's history, merged."""
-    log = views.attempts(spark, folder).withColumn("source", F.coalesce("project", F.lit("")))
+    log = views.deliveries(spark, folder).withColumn("source", F.coalesce("project", F.lit("")))
     return history.merged_sources(log, "source", 100).select("source", "id", "started_at", "status", "truncated")
 
 

@@ -105,7 +105,7 @@ def test_newest_page_folds_deliveries(spark):
     log = spark.createDataFrame(rows, "id long, status string, started_at string, logged_at long")
     got = [(r["id"], r["logged_at"]) for r in history.newest(log.filter("status = 's1'"), ["started_at", "id"], 3).collect()]
     assert got == [(28, 0), (25, 1), (22, 0)]
-    more = history.merged_sources(history.current_attempts(log).withColumn("source", F.lit("x")), "source", 5).collect()
+    more = history.merged_sources(log.withColumn("source", F.lit("x")), "source", 5).collect()
     assert len(more) == 5 and all(r["truncated"] for r in more)
 
 
