@@ -13,7 +13,7 @@ import logging
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackmill.llm.lookalike import ARMENIAN_LATIN, ARMENIAN_LOOKALIKES, CYRILLIC_LATIN, CYRILLIC_LOOKALIKES, GREEK_LATIN, GREEK_LOOKALIKES
@@ -31,7 +31,7 @@ COMMON_SHARE, COMMON_LEAST, COMMON_WEIGHT = 0.003, 50, 0.3
 #: A word is a misspelling of another within reach when that one is this many times as frequent. Frequency is the evidence:
 #: in a small table a word of few occurrences is not told from a misspelling, and titles with it must agree as they are.
 FREQUENCY_RATIO = 20
-#: Titles of more records than this say too little alone; their pairs are formed by names and years.
+#: Titles of more records than this don't give all their pairs, only those that names and years can bring above LEAST_SCORE.
 GENERIC_TITLE = 64
 #: Log-odds of the evidence. Two years apart is both sides being off by one.
 #: The title weighs less the more works have it, but never so little that equal names and year don't carry a pair.
@@ -41,6 +41,8 @@ YEAR_SAME, YEAR_NEXT, YEAR_BOTH, YEAR_DIFFERS, SUBTITLE_MISSING, SUBTITLE_DIFFER
 #: Letters from which on a name word may be slipped, and from which on by three edits.
 SLIP_LEAST, LONG_NAME = 6, 10
 SIDE = ("id", "src", "ent", "sub", "names", "rare", "acronym", "year", "mended")
+#: What a pair has of each side: the names that another source has too under the key beside the rest.
+PAIRED = (*SIDE, "known")
 LEAST_SCORE, DAMPING, TOLERANCE, MOST_ROUNDS = -4.0, 0.5, 1e-3, 30
 
 
@@ -219,35 +221,47 @@ def collapsed(held: DataFrame) -> tuple[DataFrame, DataFrame]:
     return attach(left, counts, ["key"], "n"), held.select("member", "id").distinct()
 
 
+def reaching(rows: DataFrame, names: float) -> DataFrame:
+    """``rows`` with the years at which a pair can pass LEAST_SCORE if its names add ``names``.
+
+    ``reach`` is how far known years may be apart, ``open`` whether one may be missing, ``wide`` whether any
+    years will do. Rows that no year brings so far are left out. The years' weights fall in this order.
+    """
+    # A hair below, as the score adds in another order.
+    need = F.lit(LEAST_SCORE - names - 1e-9) - F.col("t")
+    reach = F.when(need < YEAR_BOTH, 2).when(need < YEAR_NEXT, 1).when(need < YEAR_SAME, 0)
+    return rows.withColumn("reach", reach).filter("reach IS NOT NULL").withColumn("open", need < 0.0).withColumn("wide", need < YEAR_DIFFERS)
+
+
 def candidates(held: DataFrame) -> DataFrame:
     """Pairs of contenders of two sources under one key, with both sides' evidence.
 
-    Keys of up to GENERIC_TITLE rows give all their pairs of different sources. Under longer ones
-    a pair is formed if title, names and year can bring it to even odds: it shares a name word or
-    has one within a slip of the other's (not both words
-    occurring in two sources, which makes them two names), or a side without names or with an acronym stands
-    against a title that the year lifts above nought. Years further apart count only where the
-    title bears them. A pair that is not formed could not pass even odds.
+    Keys of up to GENERIC_TITLE rows give all their pairs of different sources. Longer ones give all
+    that title, names and year can bring above LEAST_SCORE, so the pairs that are scored above it are the same
+    either way: pairs that share a name word or have one within a slip of the other's, pairs of which a
+    side has no names or an acronym, and all others where the title bears other names. Each kind meets at
+    the years that its best score allows. ``known`` is taken within the whole key.
     """
-    side = lambda df, x, *more: df.select("key", *more, *[F.col(c).alias(f"{x}_{c}") for c in SIDE])
+    side = lambda df, x, *more: df.select("key", *more, *[F.col(c).alias(f"{x}_{c}") for c in PAIRED])
     few, many = held.filter(F.col("n") <= GENERIC_TITLE), held.filter(F.col("n") > GENERIC_TITLE)
+    # Two words that two sources both have under the key are two people's names, not one name slipped.
+    title = F.collect_list(F.struct("src", "names")).over(Window.partitionBy("key"))
+    few = few.withColumn("_title", title).withColumn("known", F.filter("names", lambda w: F.exists("_title", lambda r: (r["src"] != F.col("src")) & F.array_contains(r["names"], w)))).drop("_title")
     specific = side(few, "a", "works").join(side(few, "b"), "key").filter("a_src < b_src")
     if not many.head(1):
         return specific
-    weight = title_weight(F.col("works"))
-    rows = many.select("key", "id", "src", "names", "year", weight.alias("t"), ((F.size("names") == 0) | F.col("acronym")).alias("lone"))
-    # What the year must add for a pair that names say nothing about; -1 where no year helps.
-    reach = F.when(F.col("t") + YEAR_BOTH > 0, 2).when(F.col("t") + YEAR_NEXT > 0, 1).when(F.col("t") + YEAR_SAME > 0, 0).otherwise(-1)
-    named = rows.withColumn("name", F.explode("names")).select("key", "id", "src", "year", "name", F.lit(2).alias("reach"), F.lit(True).alias("open"), (F.col("t") + AUTHORS_AGREE + YEAR_DIFFERS > 0).alias("wide"))
-    silent = rows.withColumn("reach", reach).filter("reach >= 0").withColumn("open", F.col("t") > 0).withColumn("wide", F.lit(False))
-    silent_as = lambda name: silent.withColumn("name", name).select(*named.columns)
-    # Two words that two sources both have under the key are two people's names, not one name slipped.
+    rows = many.select("key", "id", "src", "names", "year", title_weight(F.col("works")).alias("t"), ((F.size("names") == 0) | F.col("acronym")).alias("lone"))
+    named = reaching(rows.withColumn("name", F.explode("names")), AUTHORS_AGREE).select("key", "id", "src", "year", "name", "reach", "open", "wide")
+    as_name = lambda df, name: df.withColumn("name", name).select(*named.columns)
     words = cut(named.groupBy("key", "name").agg((F.min("src") < F.max("src")).alias("known")))
     links = words.join(slips(words), "name").join(words.select("key", F.col("name").alias("other"), F.col("known").alias("too")), ["key", "other"])
+    known = named.join(words.filter("known"), ["key", "name"]).groupBy("key", "id").agg(F.collect_set("name").alias("known"))
+    many = cut(many.join(known, ["key", "id"], "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>"))))
     slipped = named.join(cut(links.filter("NOT (known AND too)").select("key", "name", "other")), ["key", "name"]).drop("name").withColumnRenamed("other", "name").select(*named.columns)
-    # Names are letters only, so these stand for no name: one side alone without names, or the other alone.
-    left = named.unionByName(slipped).unionByName(silent_as(F.when(F.col("lone"), "1").otherwise("2")))
-    right = named.unionByName(silent_as(F.lit("1"))).unionByName(silent.filter("lone").withColumn("name", F.lit("2")).select(*named.columns))
+    # Names are letters only, so these stand for no name: 0 where other names will do, 1 for a left side without names, 2 for the right alone.
+    silent, strange = reaching(rows, 0.0), as_name(reaching(rows, AUTHORS_DIFFER), F.lit("0"))
+    left = named.unionByName(slipped).unionByName(strange).unionByName(as_name(silent, F.when(F.col("lone"), "1").otherwise("2")))
+    right = named.unionByName(strange).unionByName(as_name(silent, F.lit("1"))).unionByName(as_name(silent.filter("lone"), F.lit("2")))
     # Places where two rows meet: 0 all years, 1 a year missing left, 2 a year missing right only, else the year.
     place = lambda *options: F.explode(F.filter(F.flatten(F.array(*options)), lambda p: p.isNotNull()))
     year, missing, narrow = F.col("year"), F.col("year").isNull(), ~F.col("wide")
@@ -275,7 +289,9 @@ def scored(pairs: DataFrame) -> DataFrame:
     hopeful = hopeful.withColumn("_both", F.size(F.array_intersect(a, b))).withColumn("_rare", F.when(F.col("_both") == 0, 0).otherwise(F.size(F.array_intersect(first("a"), first("b")))))
     hopeful = hopeful.withColumn("_least", F.least(weight("a"), weight("b"))).withColumn("_shared", F.col("_rare") + COMMON_WEIGHT * (F.col("_both") - F.col("_rare")))
     shared, least, rare = F.col("_shared"), F.col("_least"), F.col("_rare")
-    slip = F.exists(a, lambda x: F.exists(b, lambda y: (F.length(x) >= SLIP_LEAST) & (x != y) & F.levenshtein(x, y, 3).between(1, F.when(F.length(x) >= LONG_NAME, 3).otherwise(2))))
+    within = lambda x, y: F.levenshtein(x, y, 3).between(1, F.when(F.length(x) >= LONG_NAME, 3).otherwise(2))
+    two = lambda x, y: F.array_contains("a_known", x) & F.array_contains("b_known", y)
+    slip = F.exists(a, lambda x: F.exists(b, lambda y: (F.length(x) >= SLIP_LEAST) & (x != y) & within(x, y) & ~two(x, y)))
     names = (
         F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0)
         .when((shared * 2 > least) | ((shared * 2 == least) & (rare > 0)), AUTHORS_AGREE)

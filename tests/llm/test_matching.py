@@ -130,3 +130,44 @@ def test_messages_that_do_not_settle_are_told(spark, monkeypatch, caplog):
     rows = [(1, 11, 0, 1, 1, 11, 2.0), (1, 12, 0, 1, 1, 12, 1.0), (2, 12, 0, 1, 2, 12, 1.0)]
     matching.belief(spark.createDataFrame(rows, "a_id long, b_id long, a_src int, b_src int, a_ent long, b_ent long, theta double")).collect()
     assert any("stopped after 1 rounds" in r.message for r in caplog.records)
+
+
+@pytest.mark.parametrize("people", [2, 60])
+def test_long_titles_score_the_pairs_that_all_pairs_give(spark, monkeypatch, people):
+    draw = random.Random(people)
+    word = lambda least, most: "".join(draw.choice("abcde") for _ in range(draw.randint(least, most))).capitalize()
+    known = [(f"{word(7, 12)}, {word(4, 6)}", draw.randint(1980, 1990)) for _ in range(people)]
+
+    def rows(first):
+        for k in range(first, first + 60):
+            authors, year = draw.choice(known)
+            authors = draw.choices([authors, authors[:2] + "x" + authors[3:], authors.split(",")[0], "WHO", None], [6, 3, 3, 1, 0.5])[0]
+            year = draw.choices([year, year + 1, year + 2, year - 5, None], [6, 2, 2, 1, 1])[0]
+            yield k, "Letters from our editors" + draw.choice(["", "", ": of tides", ": of tide", ": on lamps and bells"]), authors, None if year is None else str(year)
+
+    every = matching.cut(matching.prepared([source(spark, number, list(rows(1000 * number))) for number in range(3)]))
+    held = matching.collapsed(matching.contenders(every, matching.keyed(every), []))[0]
+    # Both kinds of title: one that bears other names, and one that does not.
+    assert held.first()["n"] > matching.GENERIC_TITLE and (held.first()["works"] < 60) == (people == 2)
+
+    def scores():
+        return {(r["a_id"], r["b_id"]): r["theta"] for r in matching.scored(matching.candidates(held)).filter(F.col("theta") > matching.LEAST_SCORE).collect()}
+
+    got = scores()
+    monkeypatch.setattr(matching, "GENERIC_TITLE", 10**9)
+    assert got == scores()
+
+
+def test_pairs_are_the_same_under_titles_of_64_and_66_records(spark):
+    # Names within a slip that two sources both have are two names; who has no names stays a candidate below even odds.
+    left = [(1, "Editorial", "Smithson", "2001"), (2, "Editorial", "Smihtson", "1960"), (3, "Editorial", "WHO", None)]
+    right = [(11, "Editorial", "Smihtson", "2001"), (12, "Editorial", "Smithson", "1960"), (13, "Editorial", "World Health Organisation", None)]
+
+    def pairs(fillers):
+        filler = [(100 + i, "Editorial", "Zz" + chr(97 + i // 26) * 4 + chr(97 + i % 26) * 4, str(1850 + i)) for i in range(fillers)]
+        found = matching.match_entities([source(spark, 0, left + filler), source(spark, 1, right)]).collect()
+        return {(r["left_id"], r["right_id"]): r["confidence"] for r in found}
+
+    short, long = pairs(58), pairs(60)
+    assert short.keys() == long.keys() and (3, 13) in long and (1, 11) not in long
+    assert all(long[p] == pytest.approx(short[p], abs=0.05) for p in short)
